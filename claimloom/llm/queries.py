@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm.confusables import cleaned_fields
+from claimloom.llm.packing import containers, fill
+from claimloom.llm.repetition import measured, repetitive
 from claimloom.llm.residue import with_residue
 from claimloom.llm.survivorship import survivors
-from claimloom.session import table
+from claimloom.llm.tokenizer import encoded, token_counts
+from claimloom.session import spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +28,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_residue(table(spark, sf_dir, "victims").select("id", "post_title", "post_type")).select("id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encoded(_documents(spark, sf_dir))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every document in one container of each window."""
+    return containers(token_counts(_documents(spark, sf_dir)), table(spark, sf_dir, "context_windows"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers each window took, and how empty they are."""
+    return fill(p8_containers(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that say the same over and over."""
+    return repetitive(_documents(spark, sf_dir))
+
+
+def p9_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band, compression ratio and, where it is measured, the share of repeated content of every document."""
+    return measured(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_bands": p9_bands,
+}
 ORACLES: dict[str, str] = {}
