@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm.confusables import cleaned_fields
+from claimloom.llm.names import variant_pairs
 from claimloom.llm.packing import containers, fill
 from claimloom.llm.repetition import measured, repetitive
 from claimloom.llm.residue import with_residue
@@ -28,6 +29,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_residue(table(spark, sf_dir, "victims").select("id", "post_title", "post_type")).select("id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows that name one organisation differently."""
+    return variant_pairs(table(spark, sf_dir, "victims"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,7 +64,7 @@ def p9_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_bands": p9_bands,
 }
 ORACLES: dict[str, str] = {}
