@@ -53,7 +53,7 @@ _THINGS = (
 ).split()
 _SECONDS = {
     1: "s sec secs second seconds sekunde sekunden seconde secondes segundo segundos secondi secondo секунда секунды секунд сек 秒",
-    60: "min mins minute minutes minuten minuto minutos minuti минута минуты минут мин 分 分間",
+    60: "m min mins minute minutes minuten minuto minutos minuti минута минуты минут мин 分 分間",
     3600: "h hr hrs hour hours stunde stunden std heure heures hora horas ora ore час часа часов ч 時間",
     86400: "d day days tag tage tagen jour jours día días dia dias giorno giorni день дня дней дн 日 日間",
     604800: "w wk wks week weeks woche wochen semaine semaines semana semanas settimana settimane неделя недели недель 週 週間",
@@ -175,8 +175,6 @@ class Parser:
             if power is not None:
                 value *= 10 ** min(power, 40)
                 self.i += n
-        elif self.sym() == "/" and self.sym(1).isdigit() and int(self.sym(1)) and not self.word(2) and False:
-            pass
         return value
 
     def words(self) -> Fraction | None:
@@ -226,7 +224,7 @@ class Parser:
                 self.i += 2
                 return Unit(self.table[joined].dim, self.table[joined].scale * scale, self.table[joined].offset)
             # "K" or "M" before a unit, or where things are counted, is a scale; "M" alone after a size is not a unit.
-            if w in _SCALES and not (w in self.table and self.dim != COUNT and not (w in ("m", "k") and self.word(1) in self.table)):
+            if w in _SCALES and not (w in self.table and self.dim != COUNT and not (self.dim == DATA and w in ("m", "k") and self.word(1) in self.table)):
                 scale *= _SCALES[w]
                 self.i += 1
                 if self.i < len(self.t) and self.t[self.i][1] == ".":
