@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 # Letters that look like the Latin letter before the colon; from the scripts named, and phonetic letters.
 LOOKALIKES = """
-a: а α ɑ     c: с ϲ     d: ԁ     e: е     g: ɡ ց     h: һ հ     i: і ι ɩ     j: ј ϳ     k: κ к     l: ӏ ǀ     n: ո     o: о ο օ     p: р ρ
+a: а α ɑ     c: с     d: ԁ     e: е     g: ɡ ց     h: һ հ     i: і ι ɩ     j: ј ϳ     k: κ к     l: ӏ     n: ո     o: о ο օ     p: р ρ
 q: ԛ     s: ѕ     u: υ ս     v: ν ѵ     w: ԝ     x: х χ     y: у γ ү     t: τ     b: Ь
-A: А Α Ꭺ     B: В Β Ᏼ     C: С Ϲ Ꮯ     D: Ꭰ     E: Е Ε Ꭼ     G: Ԍ Ꮐ     H: Н Η Ꮋ     I: І Ι Ӏ     J: Ј Ꭻ     K: К Κ Ꮶ     L: Ꮮ     M: М Μ Ꮇ
+A: А Α Ꭺ     B: В Β Ᏼ     C: С Ꮯ     D: Ꭰ     E: Е Ε Ꭼ     G: Ԍ Ꮐ     H: Н Η Ꮋ     I: І Ι Ӏ     J: Ј Ꭻ     K: К Κ Ꮶ     L: Ꮮ     M: М Μ Ꮇ
 N: Ν     O: О Ο Օ     P: Р Ρ Ꮲ     Q: Ԛ     R: Ꭱ     S: Ѕ Ꮪ Տ     T: Т Τ Ꭲ     U: Ս     V: Ѵ Ꮩ     W: Ԝ Ꮃ     X: Х Χ     Y: У Υ Ү     Z: Ζ Ꮓ
 """
 #: Letters that are variants within their own script, replaced whatever the word.
@@ -104,13 +104,17 @@ class Cleaner:
 
     @staticmethod
     def _context(words: list[str]) -> str:
-        """The script of most letters that have no twin elsewhere; "" where there are none."""
+        """The script of most letters that have no twin elsewhere, or of most letters where all have one; "" without letters."""
         seen: dict[str, int] = {}
+        any_: dict[str, int] = {}
         for w in words:
             for ch in unicodedata.normalize("NFD", w):
                 s = script(ch)
-                if s and s != "other" and ch not in TWINS:
-                    seen[s] = seen.get(s, 0) + 1
+                if s and s != "other":
+                    any_[s] = any_.get(s, 0) + 1
+                    if ch not in TWINS:
+                        seen[s] = seen.get(s, 0) + 1
+        seen = seen or any_
         return max(sorted(seen), key=seen.get) if seen else ""
 
     def _word(self, word: str, context: str) -> str:

@@ -55,7 +55,7 @@ PAGE = re.compile(
 #: Phrases that headlines may share: residue only where a page of exactly this wording is repeated.
 SHARED = re.compile(r"(?i)^(?:maintenance|under construction|coming soon|access required|sign in|log ?in|redirecting|processing|error|forbidden|unavailable)\W*$")
 _DECORATION = re.compile(r"^(?:[\U0001f1e6-\U0001f1ff]{2}\s*)?(?:(?:new victim|victim|leak|company)\s*:\s*)?|\s*\[(?:new|released|sold|published|data leak|all stolen data|leaked)\]\s*$", re.IGNORECASE)
-_NAMED = re.compile(r"(?:\b[^\W\d_a-zß-öø-ÿ][\w.'’&/-]*[,)]*(?:\s+(?:&|of|de|du|des|di|von|van|der|y|e|and|und|et)(?=\s+[^\W\d_a-z]))?\s*)+")
+_NAMED = re.compile(r"(?:\b[^\W\d_a-zß-öø-ÿ][\w.'’&/-]*[,)]*(?:\s+&(?=\s+[^\W\d_a-z]))?\s*)+")
 def skeleton(title: str) -> str:
     """The template of a title: variables and names as one slot sign each, runs of digits as 9."""
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", _NAMED.sub("◊ ", VARIABLE.sub("◊ ", title)))).strip()
