@@ -10,6 +10,7 @@ from claimloom.functions.keys import sighting_id, victim_key
 from claimloom.functions.text import clean_text, normalize_name, nz
 from claimloom.functions.times import order_key
 from claimloom.operators.records import detail_entries, normalize_records
+from claimloom.session import cut
 
 FILLED = ("organization", "post_title", "record_id", "reported_date", "country", "country_basis", "sector", "source_host", "watchguard_profile_url")
 _IMPORT = ("source", "earliest_discovered", "latest_discovered", "archive_observations", "archive_post_title", "imported_at")
@@ -108,12 +109,14 @@ def merge_observations(history: DataFrame, observed: DataFrame, covered: DataFra
     latest observation that has them; details are laid over; first and last sighting widen, late batches included; the state
     is listed. ``covered`` (group_id, source_id): sources that the batch looked at whole, by default those in ``observed``;
     their sightings that weren't observed become unknown. Nothing is ever removed.
+
+    The history is read several times, so it should be a table; a batch upon a batch should read what the first one wrote.
     """
     cols = history.columns
     new = _names(observed.where(nz("post_title").isNotNull())).withColumn("__fallback", F.coalesce(nz("__org"), "__title"))
     new = new.withColumn("__sid", sighting_id(F.col("group_id"), F.col("source_id"), F.col("post_type"), F.col("__org"), F.col("record_id"), F.col("__fallback")))
     new = new.withColumn("__rec", F.sha2(F.to_json(F.struct("__sid", "group_id", "source_id", "record_id", "observed_at", "post_title", "organization", "claim_details")), 256)).dropDuplicates(["__rec"])
-    new = match_history(new, history).withColumn("id", F.coalesce("old_id", "__sid"))
+    new = cut(match_history(cut(new), history).withColumn("id", F.coalesce("old_id", "__sid")))
     at = F.struct(order_key(F.col("observed_at")).alias("at"), F.col("source_id").alias("s"), F.col("__rec").alias("r"))
     late = lambda c: F.max_by(F.when(nz(c).isNotNull(), F.col(c)), F.when(nz(c).isNotNull(), F.col("__at")))
     new = new.withColumn("__at", at)
