@@ -30,7 +30,7 @@ def filtered(df: DataFrame, query: str = "", group_id: str = "", country: str =
 
 def ordered(df: DataFrame) -> DataFrame:
     """Latest claims first, then by name and group without regard to case and accents, with numbers by value, then by id."""
-    numeric = lambda c: F.collate(F.regexp_replace(F.coalesce(c, F.lit("")), r"(\d+)", "000000000000$1"), "UNICODE_CI_AI")
+    numeric = lambda c: F.collate(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(\d+)", "000000000000$1"), r"\d*(\d{12})(?!\d)", "$1"), "UNICODE_CI_AI")
     shown = displayed_name(F.col("organization"), F.col("post_title"))
     return df.orderBy(claim_day(F.col("reported_date"), F.col("first_seen_at")).desc(), numeric(shown), numeric(F.col("group_name")), F.col("id"))
 
