@@ -65,8 +65,17 @@ def ignorable(ch: str) -> bool:
     return (cat in ("Cf", "Cc") and not ch.isspace() and ch not in "\x1c\x1d\x1e\x1f\x85") or ch in _FILLERS or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef"
 
 
+def _any_ignorable() -> re.Pattern:
+    """One search that tells whether a text holds an ignorable character, or one beyond the basic plane, which are looked at singly."""
+    spots = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and ignorable(chr(c))]
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in spots) + "\U00010000-\U0010ffff]")
+
+
+_IGNORABLE = _any_ignorable()
+
+
 def _visible(text: str) -> str:
-    if text.isascii() and text.isprintable():
+    if not _IGNORABLE.search(text):
         return text
     out = []
     flag = False
@@ -80,6 +89,8 @@ def _visible(text: str) -> str:
 
 def compatible(text: str) -> str:
     """Compatibility form, accents composed, ignorable characters deleted, single plain spaces between words."""
+    if text.isascii() and text.isprintable():
+        return " ".join(text.split())
     text = _visible(unicodedata.normalize("NFKC", _visible(text)))
     return " ".join(unicodedata.normalize("NFC", text).split())
 
