@@ -340,10 +340,10 @@ def ref_page_limit(spark: SparkSession, d: str) -> DataFrame:
         bool_and(e IS NULL OR e IN ('unsupported_layout', 'redirect_host_changed', 'invalid_response_url')) AS layout, min(struct_pack(p := page_no, e := e)) FILTER (WHERE e IS NOT NULL) AS f,
         nullif(array_to_string(list_sort(list_distinct(list(e) FILTER (WHERE e IS NOT NULL))), ','), '') AS error_type, arg_max(struct_pack(h := http_status), struct_pack(p := page_no, t := fetched_at)) AS h FROM c GROUP BY source_id),
     s AS (SELECT *, CASE WHEN bad = 0 THEN 'ok' WHEN ok > 0 THEN 'partial' WHEN layout THEN 'unsupported' ELSE 'offline' END AS status FROM g)
-    SELECT source_id, source_host, status, CASE WHEN status = 'partial' THEN 'page_errors' WHEN status <> 'ok' THEN f.e END AS error, error_type, pages_scanned, ok AS pages_ok, h.h AS http_status FROM s"""
+    SELECT source_id, source_host, status, CASE WHEN status = 'partial' THEN 'page_errors' WHEN status <> 'ok' THEN f.e END AS error, error_type, pages_scanned, ok AS pages_ok, CAST(h.h AS VARCHAR) AS http_status FROM s"""
 )
 def ref_source_results(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.source_results(table(spark, d, "page_captures"))
+    return rollups.source_results(table(spark, d, "page_captures")).withColumn("http_status", F.col("http_status").cast("string"))
 
 
 @query(
