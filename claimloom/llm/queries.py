@@ -59,7 +59,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band, compression ratio and, where it is measured, the share of repeated content of every document."""
+    """Band, compression ratio and share of repeated content of every document."""
     return measured(_documents(spark, sf_dir))
 
 

@@ -1,10 +1,10 @@
 """Repetition inside a single document.
 
 Compression bands: a document, and each fixed chunk of it, is compressed by zstandard after case and spacing are set aside;
-the ratio of its bytes to the compressed bytes is compared with limits for its length. What stays under the repetitive limit
-of its band in the whole and in every chunk is passed; what exceeds one is measured exactly. Text under the lower limit of
-its band is incompressible. The limits are far on the safe side of what distinguishes the documents (see BANDS), so the
-bands decide nothing alone: the exact measure does, on the few documents that they leave.
+the ratio of its bytes to the compressed bytes is compared with limits for its length. What exceeds the repetitive limit of
+its band in the whole or in a chunk is repetitive, text under the lower limit of its band is incompressible. No limit on the
+ratio bounds the share: many short repeats compress little, and random letters with repeats less than plain text. So the bands
+only describe a document, and the exact measure decides on every one.
 
 The exact share: characters that lie in sentences, lines or runs of six or more words (eighteen characters in Japanese) that
 already stood earlier in the same text, case and spacing aside, to all characters. The first occurrence is no repeat.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 RUN_WORDS, RUN_CHARS, LIMIT = 6, 18, 0.3
 CHUNK = 4096
 #: (up to so many bytes, incompressible below this ratio, repetitive from this ratio on). Of 20,000 documents with a measured
-#: share, those over 0.3 have at least these ratios: 2.76 up to 1 KB, 2.93 up to 2 KB, 3.5 up to 8 KB, 17 beyond; the limits
-#: lie a quarter to a third below, so that milder repetition is measured too, and shorter texts are nearly all measured.
+#: share, those over 0.3 have at least these ratios: 2.76 up to 1 KB, 2.93 up to 2 KB, 3.5 up to 8 KB, 17 beyond; texts with
+#: scattered short repeats have less.
 BANDS = ((64, 0.0, 0.0), (128, 0.6, 1.1), (256, 0.8, 1.3), (512, 0.95, 1.5), (1024, 1.1, 1.8), (2048, 1.3, 2.1), (8192, 1.4, 2.6), (1 << 62, 1.5, 2.9))
 
 _SPACES = re.compile(r"\s+")
@@ -75,12 +75,29 @@ def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
         yield "sentence", start, len(text)
 
 
+def _recurs(low: str, japanese: bool) -> bool:
+    """Whether any sentence, line or run occurs twice; most texts have none, and need no places."""
+    words = low.split()
+    if japanese:
+        packed = "".join(words)
+        runs = len(packed) - RUN_CHARS + 1
+        if runs > 0 and len({packed[i : i + RUN_CHARS] for i in range(runs)}) < runs:
+            return True
+    elif (runs := len(words) - RUN_WORDS + 1) > 0 and len(set(zip(*(words[i:] for i in range(RUN_WORDS)), strict=False))) < runs:
+        return True
+    keys = [(kind, k) for kind, a, b in _pieces(low) if (k := " ".join(low[a:b].split()))]
+    return len(set(keys)) < len(keys)
+
+
 def repeated_share(text: str | None) -> float:
     """Characters in repeats to all characters."""
     if not text:
         return 0.0
     n = len(text)
     low = text.lower() if len(text.lower()) == n else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    japanese = not text.isascii() and len(_CJK.findall(text)) * 2 > sum(1 for c in text if not c.isspace())
+    if not _recurs(low, japanese):
+        return 0.0
     delta = np.zeros(n + 1, dtype=np.int32)
     seen: set[tuple[str, str]] = set()
     for kind, a, b in _pieces(low):
@@ -94,7 +111,6 @@ def repeated_share(text: str | None) -> float:
             delta[b - (len(s) - len(s.rstrip()))] -= 1
         else:
             seen.add((kind, key))
-    japanese = len(_CJK.findall(text)) * 2 > sum(1 for c in text if not c.isspace())
     if japanese:
         spots = [i for i, c in enumerate(low) if not c.isspace()]
         packed = "".join(low[i] for i in spots)
@@ -125,8 +141,8 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
 
 
-def measured(df: DataFrame, key: str = "doc_id", text: str = "text", all_shares: bool = False) -> DataFrame:
-    """(key, band, ratio, share): share is measured where the band is repetitive, else null; everywhere with ``all_shares``."""
+def measured(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, band, ratio, share): share is measured on every document, whatever its band."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +150,7 @@ def measured(df: DataFrame, key: str = "doc_id", text: str = "text", all_shares:
         for b in batches:
             texts = b.column(1).to_pylist()
             bands = [band(t, compressor) for t in texts]
-            shares = [repeated_share(t) if all_shares or k == "repetitive" else None for t, (k, _) in zip(texts, bands, strict=True)]
+            shares = [repeated_share(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in bands], pa.string()), pa.array([r for _, r in bands], pa.float64()), pa.array(shares, pa.float64())], names=[key, "band", "ratio", "share"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, band string, ratio double, share double")

@@ -44,3 +44,20 @@ def test_table(make):
     assert sorted(r["doc_id"] for r in repetitive(d).collect()) == [2, 2, 5]
     assert {r["doc_id"]: r["band"] for r in measured(d).collect()} == {1: "plain", 2: "repetitive", 3: "plain", 4: "plain", 5: "repetitive"}
     assert repetitive(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [2000, 4000, 8000])
+def test_scattered_short_repeats_just_over_the_limit(make, size):
+    """Six or seven words of its own text at a time, too short to compress well: the bands pass some, the measure none."""
+    rnd, docs = random.Random(size), []
+    for i in range(40):
+        words = sentence(rnd, 400).replace(".", "").split() if i % 2 else ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rnd.randrange(3, 9))) for _ in range(1200)]
+        words = " ".join(words)[: int(size * 0.68)].split()
+        out = [words[j : j + 20] for j in range(0, len(words), 20)]
+        while repeated_share(text := " ".join(w for piece in out for w in piece)) <= LIMIT:
+            j, n = rnd.randrange(len(words) - 7), rnd.choice((6, 7))
+            out.insert(rnd.randrange(len(out) + 1), words[j : j + n])
+        docs.append((i, text))
+    c = compressor()
+    assert any(band(t, c)[0] != "repetitive" for _, t in docs)
+    assert {r["doc_id"] for r in repetitive(make(docs, "doc_id long, text string")).collect()} == set(range(40))
