@@ -4,10 +4,9 @@
    legal forms, given names and words of a line of business, sounds spelt one way, other alphabets transliterated.
 2. Metric-space partitioning of the distinct parts under Levenshtein distance. Pivots picked from the names themselves don't
    part random names: their distances to any pivot differ by one or two, so the triangle inequality would copy every name
-   into nearly every cell. The pivots are therefore the strings one deletion away from a name or one of its words: a name
-   lies in the cell of each pivot within one deletion of it, its boundary copies, and by the triangle inequality two names
-   within the radius lie in the cell of a common pivot (two edits either fall into both words, one each, or leave one word
-   as it is). Inside a cell the exact radius join runs with the true metric.
+   into nearly every cell. The pivots are therefore pairs of quarters of a name, of which two edits leave at least one pair
+   intact and at most moved by two letters, and for short names the strings one or two deletions away: two names within the
+   radius lie in the cell of a common pivot. Inside a cell the exact radius join runs with the true metric.
 3. Links of that join, of the two names on one row, of one website and of copies of one listing make families, by connected
    components. A family is split where line of business, country and website all differ.
 
@@ -23,14 +22,14 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.confusables import Cleaner
 from claimloom.llm.residue import _DECORATION, DEFAULT, FILLER, PAGE, SHARED, VARIABLE, _type_residue
 from claimloom.session import cut
 
-RADIUS, LEAST, HALF = 2, 8, 6
+RADIUS, LEAST, QUARTERED = 2, 8, 10
 # Legal forms and words that don't tell organisations apart.
 LEGAL = set(
     "the of and a an s l v b c n p r z o e y co company companies corp corporation inc incorporated ltd limited llc llp lp plc gmbh mbh ag kg kgaa ohg gesellschaft aktiengesellschaft sa sas sarl srl spa ltda lda "
@@ -329,42 +328,84 @@ def _alike(a: str, b: str) -> bool:
     return len(x & y) * 2 >= min(len(x), len(y))
 
 
-def _pivots(words: Column) -> Column:
-    """The pivots in whose cells a name lies, as 64-bit hashes.
+#: Pairs of quarters of a name that two edits can leave intact: (quarters, the shifts of both in a name longer by so much).
+#: Both edits in one quarter leave the other half whole; one edit in each of two quarters leaves the other two, each moved by
+#: what was inserted before it.
+_ONE = (-1, 0, 1)
+_INTACT = {
+    d: [((0, 1), 0, 0), ((2, 3), d, d), ((0, 3), 0, d)] + [x for y in _ONE if d - y in _ONE for x in (((0, 2), 0, y), ((1, 2), y, y), ((1, 3), y, d))]
+    for d in range(-RADIUS, RADIUS + 1)
+}
+
+
+@lru_cache(maxsize=4096)
+def _cuts(n: int, one_word: bool) -> tuple[list, list]:
+    """(own cells, cells of shorter names) of a name of ``n`` letters: what stands before a cell's text, and its two spans."""
+    quarters = lambda k: [k * i // 4 for i in range(5)]
+    q = quarters(n)
+    own = [(f"{n} {i}{j} ", q[i], q[i + 1], q[j], q[j + 1]) for (i, j), _, _ in dict.fromkeys(_INTACT[0]) if n >= QUARTERED]
+    other = []
+    for d in range(-RADIUS if one_word else 0, RADIUS + 1):
+        if n - d < QUARTERED:
+            continue
+        q = quarters(n - d)
+        for (i, j), x, y in _INTACT[d]:
+            if q[i] + x >= 0 and q[i + 1] + x <= n and q[j] + y >= 0 and q[j + 1] + y <= n:
+                other.append((f"{n - d} {i}{j} ", q[i] + x, q[i + 1] + x, q[j] + y, q[j + 1] + y))
+    return list(dict.fromkeys(own)), other
 
-    Names of several words: each word, and the words run together in either order; two edits to more than two words leave a
-    word as it is, and so do two edits to one of two words. For one edit to each of two words, the strings one deletion away
-    from the first. Turned names share a word if no more than one of their words is edited. Names of one long word, which may
-    be two run together: itself, what is one deletion away from it, and its halves at each place, as words.
-    """
 
-    def deletions(w: Column) -> Column:
-        return F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+def pivots(words: str) -> set[str]:
+    """The pivots in whose cells a name lies; two names within the radius share one, whatever their words.
 
-    as_words = lambda ws: F.transform(ws, lambda w: F.xxhash64(F.lit("w"), w))
-    as_wholes = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-    one = F.get(words, F.lit(0))
-    n = F.length(one)
-    halves = F.when(n >= 2 * HALF, F.flatten(F.transform(F.sequence(F.lit(HALF), n - HALF), lambda i: F.array(F.substring(one, F.lit(1), i), F.substring(one, i + 1, n))))).otherwise(F.array().cast("array<string>"))
-    several = F.concat(as_wholes(F.array(F.array_join(words, ""), F.array_join(F.reverse(words), ""))), as_words(F.filter(words, lambda w: F.length(w) >= 4)), F.when(F.size(words) == 2, F.transform(deletions(one), lambda w: F.xxhash64(F.lit("d"), w))).otherwise(F.array().cast("array<bigint>")))
-    return F.array_distinct(F.when(F.size(words) > 1, several).otherwise(F.concat(as_wholes(deletions(one)), as_words(halves))))
+    Short names, and those an edit or two longer: the name and what is one or two deletions away from it. Of longer ones, two
+    edits leave two quarters intact: a name lies in the cells of its own pairs of quarters, and in those that a name of
+    its length or up to two letters less would have there. The words turned round have cells of their own; a name of one
+    word looks for them among longer names too, as it can't be turned itself.
+    """
+    ws = words.split(" ")
+    run = "".join(ws)
+    n = len(run)
+    turned = "".join(reversed(ws)) if len(ws) > 1 else run
+    own, other = _cuts(n, len(ws) == 1)
+    out = {p + run[a:b] + run[c:d] for p, a, b, c, d in own + other}
+    out.update(p + turned[a:b] + turned[c:d] for p, a, b, c, d in own)
+    if n < QUARTERED + RADIUS:
+        for w in {run, turned}:
+            less = {w[:i] + w[i + 1 :] for i in range(n)}
+            out |= {w} | less | {x[:i] + x[i + 1 :] for x in less for i in range(n - 1)}
+    return out
 
 
 def radius_links(names: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): pairs of distinct names within ``radius`` of each other, in either order of their words.
+    """(a, b): pairs of distinct names within ``radius`` of each other, or of the shorter with its words turned round.
 
-    ``names``: (words), the words of a name joined by spaces; the results have them without. Cells are joined on the pivot's
-    64-bit hash; a hash that two pivots share only adds pairs that the metric then rejects. Both sides of the join are one
-    exchange.
+    ``names``: (words), the words of a name joined by spaces; the results have them without. Turned are the words of the
+    shorter of two names, of either if they are of one length, and of the longer if the shorter has one word only. Cells are
+    joined on the pivot's 64-bit hash; a hash that two pivots share only adds pairs that the metric then rejects. Both sides of
+    the join are one exchange.
     """
-    cells = names.select("words", F.explode(_pivots(F.split("words", " "))).alias("pivot"))
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius must lie between 0 and {RADIUS}")
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(pivots(w)) for w in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["words", "pivots"])
+
+    placed = names.select("words").mapInArrow(run_, "words string, pivots array<string>")
+    cells = placed.select("words", F.explode("pivots").alias("p")).select("words", F.xxhash64("p").alias("pivot"))
     a, b = cells.select("pivot", F.col("words").alias("wa")), cells.select("pivot", F.col("words").alias("wb"))
     run = lambda c: F.translate(c, " ", "")
-    turned = F.when(F.instr("wb", " ") > 0, F.array_join(F.reverse(F.split("wb", " ")), ""))
-    # Cheap conditions first: each pair once, and lengths, which an edit changes by one at most and a missing space by one.
-    may = (F.col("wa") < F.col("wb")) & (F.abs(F.length("wa") - F.length("wb")) <= radius + 1)
-    near = F.when(may, (F.levenshtein(run("wa"), run("wb"), radius) >= 0) | (F.levenshtein(run("wa"), turned, radius) >= 0)).otherwise(False)
-    return a.join(b, "pivot").where(near).select(run("wa").alias("a"), run("wb").alias("b")).distinct()
+    turned = lambda c: F.when(F.instr(c, " ") > 0, F.array_join(F.reverse(F.split(c, " ")), ""))
+    # Cheap conditions first: each pair once, and lengths, which an edit changes by one at most.
+    more = F.length(run("wb")) - F.length(run("wa"))
+    may = (F.col("wa") < F.col("wb")) & (F.abs(more) <= radius)
+    near = (
+        (F.levenshtein(run("wa"), run("wb"), radius) >= 0)
+        | (((more >= 0) | (F.instr("wb", " ") == 0)) & (F.levenshtein(turned("wa"), run("wb"), radius) >= 0))
+        | (((more <= 0) | (F.instr("wa", " ") == 0)) & (F.levenshtein(run("wa"), turned("wb"), radius) >= 0))
+    )
+    return a.join(b, "pivot").where(F.when(may, near).otherwise(False)).select(run("wa").alias("a"), run("wb").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

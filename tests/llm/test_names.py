@@ -87,3 +87,34 @@ def test_components_of_long_chains_and_hubs(make):
     got = {r["node"]: r["component"] for r in components(make(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[1000 + i] for i in range(200)} == {1000}
     assert components(make([], "a long, b long")).count() == 0
+
+
+def test_radius_join_of_one_word_run_together_and_short_names(make):
+    rnd = random.Random(11)
+    letters = "bdgklmnprstaeiou"
+
+    def edit(s):
+        i = rnd.randrange(len(s))
+        return rnd.choice((s[:i] + s[i + 1 :], s[:i] + rnd.choice(letters) + s[i:], s[:i] + rnd.choice(letters) + s[i + 1 :]))
+
+    names = {"sumozert", "sunosert", "stibrohund", "stibrahunt", "hegamandmarofisk", "hegumandmarofosk"}
+    for n in [*range(5, 24), 40] * 3:
+        w = "".join(rnd.choice(letters) for _ in range(n))
+        i, j = sorted(rnd.sample(range(1, n), 2))
+        for x in (w, edit(w), edit(edit(w)), edit(edit(w)), w[i:] + w[:i], edit(w[i:] + w[:i])):
+            names |= {x, f"{x[:i]} {x[i:]}" if i < len(x) else x, f"{w[i:]} {w[:i]}", f"{edit(w[:i] + '-').replace('-', '')}x {w[i:]}", f"{w[:i]} {w[i:j]} {w[j:]}", f"{w[j:]} {w[i:j]} {w[:i]}"}
+    names = sorted({n.replace(" ", ""): n for n in sorted(names) if all(n.split(" "))}.values())
+    run = lambda n: n.replace(" ", "")
+    turned = lambda n: "".join(reversed(n.split()))
+
+    def near(x, y):
+        x, y = sorted((x, y), key=lambda n: len(run(n)))
+        if len(run(y)) - len(run(x)) > 2:
+            return False
+        either = len(run(x)) == len(run(y)) or " " not in x
+        return distance(run(x), run(y)) <= 2 or distance(turned(x), run(y)) <= 2 or (either and distance(run(x), turned(y)) <= 2)
+
+    want = {tuple(sorted((run(x), run(y)))) for x, y in itertools.combinations(names, 2) if near(x, y)}
+    got = {tuple(sorted((r["a"], r["b"]))) for r in radius_links(make([(n,) for n in names], "words string")).collect()}
+    assert {("sumozert", "sunosert"), ("stibrahunt", "stibrohund"), ("hegamandmarofisk", "hegumandmarofosk")} <= want
+    assert want == got
