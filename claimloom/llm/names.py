@@ -30,6 +30,7 @@ from claimloom.llm.residue import _DECORATION, DEFAULT, FILLER, PAGE, SHARED, VA
 from claimloom.session import cut
 
 RADIUS, LEAST, QUARTERED = 2, 8, 10
+PARTNERS = 8
 # Legal forms and words that don't tell organisations apart.
 LEGAL = set(
     "the of and a an s l v b c n p r z o e y co company companies corp corporation inc incorporated ltd limited llc llp lp plc gmbh mbh ag kg kgaa ohg gesellschaft aktiengesellschaft sa sas sarl srl spa ltda lda "
@@ -234,15 +235,21 @@ def _site(url: str | None, common: frozenset[str]) -> tuple[str, str]:
 
 
 def _common_words(rows: DataFrame) -> frozenset[str]:
-    """Words of one in 1,500 distinct organisations or more, and of 40 at least: words of business, whatever the language.
+    """Words of business, whatever the language: those that stand beside many different partners, one in 1,500 of the names.
 
-    A name has few words, so at most some 1,500 times the words of a name can reach the driver, however many rows there are.
+    A name is the set of its words without legal forms, given names and known words of business, so that spellings of one
+    organisation are one name or few; a partner is what a name has beside the word. Misspelt partners of a family word begin
+    alike, so those of a business word must begin differently too: no initials with more than a third. Fewer than
+    ``PARTNERS`` tell nothing. A name has few words, so at most some 1,500 times the words of a name can reach the driver.
     """
-    names = rows.select(F.lower("organization").alias("o")).where("o is not null")
-    total = names.agg(F.approx_count_distinct("o")).first()[0]
-    names = names.distinct()
-    tokens = names.select(F.explode(F.array_distinct(F.regexp_extract_all("o", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))).alias("w")).groupBy("w").count()
-    return frozenset(normal(r["w"]) for r in tokens.where(F.col("count") >= max(40, total / 1500)).collect())
+    raw = F.regexp_extract_all("o", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    known = F.array(*(F.lit(w) for w in sorted(LEGAL | GIVEN | set(_ALIAS))))
+    names = rows.select(F.lower("organization").alias("o")).where("o is not null").select(F.array_sort(F.array_except(F.array_distinct(raw), known)).alias("ws"))
+    names = names.select(F.filter("ws", lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$")).alias("ws")).where("size(ws) > 0").distinct()
+    beside = names.select("ws", F.explode("ws").alias("w")).select("w", F.array_join(F.transform(F.array_remove("ws", F.col("w")), lambda x: F.substring(x, 1, 1)), "").alias("initial")).where("initial <> ''")
+    spread = beside.groupBy("w", "initial").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    total = names.agg(F.approx_count_distinct("ws")).first()[0]
+    return frozenset(normal(r["w"]) for r in spread.where((F.col("n") >= max(PARTNERS, total / 1500)) & (F.col("most") * 3 <= F.col("n"))).collect())
 
 
 def _described(rows: DataFrame) -> DataFrame:

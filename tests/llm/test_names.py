@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from claimloom.llm.names import Name, components, normal, radius_links, spoken, title_name, variant_pairs
+from claimloom.llm.names import Name, _common_words, components, normal, radius_links, spoken, title_name, variant_pairs
 
 
 def pairs(victims, *rows):
@@ -118,3 +118,15 @@ def test_radius_join_of_one_word_run_together_and_short_names(make):
     got = {tuple(sorted((r["a"], r["b"]))) for r in radius_links(make([(n,) for n in names], "words string")).collect()}
     assert {("sumozert", "sunosert"), ("stibrahunt", "stibrohund"), ("hegamandmarofisk", "hegumandmarofosk")} <= want
     assert want == got
+
+
+def test_words_of_an_organisation_with_many_spellings_are_not_words_of_business(victims):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(4))
+    spellings = [f"Gatibrind{a}Zosamuve{b}{c}" for a in (" ", "-", " & ", ", ", "  ") for b in (" ", ", ", " - ") for c in ("Ltd", "LTD.", "Limited", "Inc", "GmbH", "S.A.", "Winery", "")]
+    spellings += [f"Gatibrind {'Zosamuve'[:i]}{x}{'Zosamuve'[i + 1 :]} Ltd" for i in range(1, 8) for x in "aeiou"]
+    others = [f"{word()} Querfeldbau" for _ in range(150)] + [f"{word()} {word()} Ltd" for _ in range(150)]
+    rows = [{"id": f"{i}", "organization": n, "post_title": "x", "post_type": "headline"} for i, n in enumerate(spellings + others)]
+    assert _common_words(victims(*rows)) == {"querfeldbau"}
+    found = pairs(victims, *rows)
+    assert all(("0", f"{i}") in found for i in range(1, len(spellings)) if normal(spellings[i]) != normal(spellings[0]))
