@@ -7,6 +7,9 @@
    into nearly every cell. The pivots are therefore pairs of quarters of a name, of which two edits leave at least one pair
    intact and at most moved by two letters, and for short names the strings one or two deletions away: two names within the
    radius lie in the cell of a common pivot. Inside a cell the exact radius join runs with the true metric.
+   Distinct parts of 5 to 7 letters link when equal, or within one edit (of four, too) if business, website or country agree; shorter
+   ones, mostly acronyms, when they are equal and the business is; both give way to a longer name on the same row. A short website
+   links its rows.
 3. Links of that join, of the two names on one row, of one website and of copies of one listing make families, by connected
    components. A family is split where line of business, country and website all differ.
 
@@ -29,7 +32,7 @@ from claimloom.llm.confusables import Cleaner
 from claimloom.llm.residue import _DECORATION, DEFAULT, FILLER, PAGE, SHARED, VARIABLE, _type_residue
 from claimloom.session import cut
 
-RADIUS, LEAST, QUARTERED = 2, 8, 10
+RADIUS, LEAST, SHORT, QUARTERED = 2, 8, 5, 10
 PARTNERS = 8
 # Legal forms and words that don't tell organisations apart.
 LEGAL = set(
@@ -231,7 +234,7 @@ def _site(url: str | None, common: frozenset[str]) -> tuple[str, str]:
     words = [w for w in re.split(r"[^a-z0-9]+", labels[-2] if len(labels) > 1 else labels[0]) if w]
     business = [w for w in words if _generic(w, common)]
     core = "".join(sounded(w) for w in words if not _generic(w, common))
-    return (core, _ALIAS.get(business[0], business[0]) if business else "") if len(core) >= LEAST else ("", "")
+    return (core, _ALIAS.get(business[0], business[0]) if business else "") if len(core) > 2 else ("", "")
 
 
 def _common_words(rows: DataFrame) -> frozenset[str]:
@@ -245,7 +248,7 @@ def _common_words(rows: DataFrame) -> frozenset[str]:
     raw = F.regexp_extract_all("o", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
     known = F.array(*(F.lit(w) for w in sorted(LEGAL | GIVEN | set(_ALIAS))))
     names = rows.select(F.lower("organization").alias("o")).where("o is not null").select(F.array_sort(F.array_except(F.array_distinct(raw), known)).alias("ws"))
-    names = names.select(F.filter("ws", lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$")).alias("ws")).where("size(ws) > 0").distinct()
+    names = cut(names.select(F.filter("ws", lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$")).alias("ws")).where("size(ws) > 0").distinct())  # read twice
     beside = names.select("ws", F.explode("ws").alias("w")).select("w", F.array_join(F.transform(F.array_remove("ws", F.col("w")), lambda x: F.substring(x, 1, 1)), "").alias("initial")).where("initial <> ''")
     spread = beside.groupBy("w", "initial").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
     total = names.agg(F.approx_count_distinct("ws")).first()[0]
@@ -292,7 +295,10 @@ def _described(rows: DataFrame) -> DataFrame:
                 nodes: list[str] = []
                 hints: list[str] = []
                 short = []
+                small = None
                 for n in (head, second):
+                    if n is not None and _acronym_like(n) and small is None and len(n.core) > 1 and not n.initial:
+                        small = n
                     if n is not None and (x := n.abbreviated()):
                         short.append(x)
                     if n is None or _acronym_like(n) or (nodes and not _alike(nodes[0], n.core)):
@@ -301,6 +307,12 @@ def _described(rows: DataFrame) -> DataFrame:
                         words, foreign = n.words, n.foreign
                     business |= n.business
                     nodes.append(n.core)
+                if not nodes and small is not None:  # an acronym says less than the name it stands beside
+                    words, business, foreign = small.words, set(small.business), small.foreign
+                    if len(small.core) >= SHORT or (business and len(small.core) == SHORT - 1):
+                        nodes.append(small.core)
+                    elif business:
+                        short.append(f"c{small.core} {' '.join(sorted(business))}")
                 place = " ".join((c or "").casefold().split())
                 place = _COUNTRIES.get(place, place)
                 site, site_business = _site(url, common)
@@ -310,9 +322,11 @@ def _described(rows: DataFrame) -> DataFrame:
                             site, site_business = _site(x, common)
                 if not business and site_business:
                     business = {site_business}
-                if site:
+                if len(site) >= LEAST:
                     nodes.append(site)
-                if nodes and words and not foreign and place in _OTHER_ALPHABET:
+                elif site:
+                    hints.append(f"u{site}-{site_business}")
+                if nodes and len(nodes[0]) >= LEAST and words and not foreign and place in _OTHER_ALPHABET:
                     hints += ["k" + spoken(words, k) for k in ((True, False) if place == "" else (place == "japan",))]
                 elif nodes and words and foreign:
                     hints.append("k" + "".join(words))
@@ -489,7 +503,14 @@ def entities(rows: DataFrame) -> DataFrame:
     named = cut(_described(rows))
     own = named.select("words").where("words is not null")
     names = own.unionByName(named.select(F.explode("cores").alias("words"))).groupBy(F.translate("words", " ", "").alias("core")).agg(F.max_by("words", F.struct(F.size(F.split("words", " ")), F.col("words"))).alias("words"))
-    links = radius_links(cut(names.where(F.length("core") >= LEAST).select("words"))).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    near = cut(radius_links(cut(names.where(F.length("core") >= SHORT - 1).select("words"))))
+    sure = near.where(F.least(F.length("a"), F.length("b")) >= LEAST)
+    # Of short names one edit only, and only where rows of both say something else alike.
+    hints = (("b", "business"), ("s", "site"), ("p", "place"))
+    facts = named.select(F.explode("cores").alias("core"), *(c for _, c in hints)).where(F.length("core").between(SHORT - 1, LEAST)).select("core", F.explode(F.filter(F.array(*(F.concat(F.lit(k), F.col(c)) for k, c in hints)), lambda x: x.isNotNull())).alias("fact")).distinct()
+    doubtful = near.where((F.least(F.length("a"), F.length("b")) < LEAST) & (F.greatest(F.length("a"), F.length("b")) >= SHORT) & (F.levenshtein("a", "b", 1) >= 0))
+    confirmed = doubtful.join(facts.select(F.col("core").alias("a"), "fact"), "a").join(facts.select(F.col("core").alias("b"), "fact"), ["b", "fact"]).select("a", "b").distinct()
+    links = sure.unionByName(confirmed).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     head = F.xxhash64(F.coalesce(F.get("cores", F.lit(0)), F.get("hints", F.lit(0))))
     rowed = named.where(F.size("cores") > 1).select(head.alias("a"), F.explode(F.slice("cores", 2, 9)).alias("b")).select("a", F.xxhash64("b").alias("b")).distinct()
     # A hint links the names that share it with the smallest of them; most hints belong to one name only and link nothing.

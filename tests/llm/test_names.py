@@ -130,3 +130,10 @@ def test_words_of_an_organisation_with_many_spellings_are_not_words_of_business(
     assert _common_words(victims(*rows)) == {"querfeldbau"}
     found = pairs(victims, *rows)
     assert all(("0", f"{i}") in found for i in range(1, len(spellings)) if normal(spellings[i]) != normal(spellings[0]))
+
+
+def test_short_names(victims):
+    rows = [("a", "Siemens AG", "DE"), ("b", "Simens AG", "Germany"), ("c", "Siemens", None), ("d", "Bosch Tools", None), ("e", "Bosh Tools", None), ("f", "Bosko Winery", "FR"), ("g", "BMW Tools", None), ("h", "BMW Tools GmbH", None), ("i", "BMB Tools", None), ("j", "BMW", None), ("k", "Sumens AG", "FR")]
+    sites = [("x", "Abc", "https://www.quabo.example/"), ("y", "Defgh Kilomano Ltd", "quabo.example")]
+    rows = [{"id": i, "organization": n, "country": c, "post_title": n, "post_type": "victim"} for i, n, c in rows] + [{"id": i, "organization": n, "post_title": n, "post_type": "victim", "claim_details": {"organization_website": u}} for i, n, u in sites]
+    assert pairs(victims, *rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("g", "h"), ("x", "y")}
