@@ -4,7 +4,7 @@ Titles are aligned by their template: names become slots and numbers one digit,
 skeleton, whose support is counted over all rows. A slot is flagged where it keeps a variable's name in any of the common
 notations, a default that a failed lookup leaves, a filler text, or nothing at all. A title without slot is flagged as an
 error page where it is worded as one: by a whole phrase that such pages use, or, for phrases that a headline might share
-too, only if several rows repeat the page.
+too, only if several rows have that whole title, letter case and punctuation aside.
 
 Defined cases: null titles and types are no residue; an empty title is none either, but a template whose only slot is empty
 is; texts of any length are searched whole; rows count once however often they repeat, each with its own id.
@@ -61,15 +61,15 @@ def skeleton(title: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "9", _NAMED.sub("◊ ", VARIABLE.sub("◊ ", title)))).strip()
 
 
-def residue(title: str | None, post_type: str | None) -> tuple[str, str, str]:
-    """(kind, skeleton, slot contents) of a record by itself.
+def residue(title: str | None, post_type: str | None) -> tuple[str, str, str, str]:
+    """(kind, skeleton, slot contents, page) of a record by itself; ``page`` is the whole bare title where repetition decides.
 
     ``slot``: a variable, default or filler stands in it; ``page``: an error page's phrase; ``shared``: repetition decides;
     ``""``: only its template can tell.
     """
     kind = _type_residue(post_type)
     if title is None:
-        return kind, "", ""
+        return kind, "", "", ""
     bare = _DECORATION.sub("", title.strip())
     if not kind:
         if VARIABLE.search(title) or DEFAULT.search(title) or FILLER.search(bare) or (title.strip() and bare.strip(" []():-") == ""):
@@ -78,7 +78,7 @@ def residue(title: str | None, post_type: str | None) -> tuple[str, str, str]:
             kind = "page"
         elif SHARED.search(bare):
             kind = "shared"
-    return kind, skeleton(bare), " ".join(_NAMED.findall(bare))
+    return kind, skeleton(bare), " ".join(_NAMED.findall(bare)), " ".join(re.sub(r"\W+", " ", bare.lower()).split()) if kind == "shared" else ""
 
 
 def _type_residue(value: str | None) -> str:
@@ -112,11 +112,13 @@ def with_residue(rows: DataFrame, key: str = "id") -> DataFrame:
         cleaner = Cleaner({})
         for b in batches:
             found = [residue(None if t is None else cleaner(t), p) for t, p in zip(b["post_title"], b["post_type"], strict=True)]
-            yield pd.DataFrame({key: b["__key"], "kind": [k for k, _, _ in found], "skeleton": [s for _, s, _ in found], "slots": [x for _, _, x in found]})
+            yield pd.DataFrame({key: b["__key"], "kind": [k for k, _, _, _ in found], "skeleton": [s for _, s, _, _ in found], "slots": [x for _, _, x, _ in found], "page": [w for _, _, _, w in found]})
 
-    judged = cut(rows.select(F.col(key).alias("__key"), "post_title", "post_type").mapInPandas(judge, f"`{key}` {kind}, kind string, skeleton string, slots string"))
+    judged = cut(rows.select(F.col(key).alias("__key"), "post_title", "post_type").mapInPandas(judge, f"`{key}` {kind}, kind string, skeleton string, slots string, page string"))
     templates = judged.groupBy("skeleton").agg(F.count("*").alias("support"), (F.min("slots") != F.max("slots")).alias("varies"))
     blanks = templates.where("varies and skeleton like '%◊%'").select(F.explode(_blank_forms(F.col("skeleton"))).alias("skeleton")).distinct()
-    alone = judged.where("kind <> ''").join(templates.select("skeleton", "support"), "skeleton", "left").where("kind <> 'shared' or support >= 2").select(key, "kind", "skeleton", "support")
+    # Not by the skeleton, in which every page of one capitalised word is the slot that a name is too.
+    pages = judged.where("kind = 'shared'").groupBy("page").agg(F.count("*").alias("repeats"))
+    alone = judged.where("kind <> ''").join(templates.select("skeleton", "support"), "skeleton", "left").join(pages, "page", "left").where("kind <> 'shared' or repeats >= 2").select(key, "kind", "skeleton", "support")
     left_blank = judged.where("kind = ''").join(blanks, "skeleton", "left_semi").join(templates.select("skeleton", "support"), "skeleton").select(key, F.lit("blank").alias("kind"), "skeleton", "support")
     return alone.unionByName(left_blank)

@@ -38,3 +38,8 @@ def test_templates_of_the_table(make):
     v = make(rows, "id string, post_title string, post_type string")
     assert sorted(r["id"] for r in with_residue(v.selectExpr("*", "1 as kind", "2 as skeleton")).collect()) == ["blank", "j", "j", "m1", "m2"]
     assert with_residue(v.limit(0)).count() == 0
+
+
+def test_shared_wordings_are_counted_by_the_whole_title(make):
+    rows = [("a", "Unavailable", "headline"), ("b", "Acme Widgets", "victim"), ("c", "LOGIN", "headline"), ("d", "Redirecting...", "headline"), ("e", "redirecting", "headline")]
+    assert sorted(r["id"] for r in with_residue(make(rows, "id string, post_title string, post_type string")).collect()) == ["d", "e"]
