@@ -1,8 +1,11 @@
 """Variant spellings of the names of organisations, linked to the organisations they mean.
 
-1. Each row's names (organisation, title, host of the website) are reduced to the distinctive part: clean form, no accents, no
-   legal forms, given names and words of a line of business, sounds spelt one way, other alphabets transliterated.
-2. Metric-space partitioning of the distinct parts under Levenshtein distance. Pivots picked from the names themselves don't
+1. Each row's texts are brought to clean and normal form. What the table itself tells is counted over all of its rows: words of
+   business (beside many different partners), headlines with a name in their gap (templates with a slot whose contents vary),
+   and pages that aren't content (repeated whole under contradictory types).
+2. A name (organisation, title, host of the website) is reduced to its distinctive part: no legal forms, given names and words
+   of business, sounds spelt one way, other alphabets transliterated.
+3. Metric-space partitioning of the distinct parts under Levenshtein distance. Pivots picked from the names themselves don't
    part random names: their distances to any pivot differ by one or two, so the triangle inequality would copy every name
    into nearly every cell. The pivots are therefore pairs of quarters of a name, of which two edits leave at least one pair
    intact and at most moved by two letters, and for short names the strings one or two deletions away: two names within the
@@ -10,10 +13,11 @@
    Distinct parts of 5 to 7 letters link when equal, or within one edit (of four, too) if business, website or country agree; shorter
    ones, mostly acronyms, when they are equal and the business is; both give way to a longer name on the same row. A short website
    links its rows.
-3. Links of that join, of the two names on one row, of one website and of copies of one listing make families, by connected
+4. Links of that join, of the two names on one row, of one website and of copies of one listing make families, by connected
    components. A family is split where line of business, country and website all differ.
 
-Only distinct names are joined, so an organisation that a third of all rows name is one name in a handful of cells.
+Only distinct names are joined, so an organisation that a third of all rows name is one name in a handful of cells. Names and
+families go by their texts, not by hashes of them.
 """
 
 from __future__ import annotations
@@ -23,66 +27,57 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.confusables import Cleaner
-from claimloom.llm.residue import _DECORATION, DEFAULT, FILLER, PAGE, SHARED, VARIABLE, _type_residue
+from claimloom.llm.confusables import Cleaner, letter_bigrams
+from claimloom.llm.residue import DEFAULT, VARIABLE, _type_residue, aligned, bare, holds_variable, is_sentence, normal, phrase, repeated_pages, wording
 from claimloom.session import cut
 
 RADIUS, LEAST, SHORT, QUARTERED = 2, 8, 5, 10
-PARTNERS = 8
+#: A word of business has partners of at least so many kinds, by their initials, and stands in one of so many names at least.
+PARTNERS, RATE = 8, 10_000
+#: A headline with a gap has at least so many rows, and one in so many rows of all such headlines.
+HEADLINES, HEADLINE_RATE = 3, 10_000
+#: Rows of an organisation that meet in one task of the last step.
+BLOCK = 2_000
 # Legal forms and words that don't tell organisations apart.
 LEGAL = set(
     "the of and a an s l v b c n p r z o e y co company companies corp corporation inc incorporated ltd limited llc llp lp plc gmbh mbh ag kg kgaa ohg gesellschaft aktiengesellschaft sa sas sarl srl spa ltda lda "
-    "ab as aps oy oyj nv bv sp zoo kk pty pvt private cv de di du des la le el der und et group holding holdings grp sociedad anonima societe international intl int ко κο www example 株式会社 有限会社".split()
+    "ab as aps oy oyj nv bv sp zoo kk pty pvt private cv de di du des la le el der und et group grp holding holdings sociedad anonima societe international intl int ко κο www example 株式会社 有限会社".split()
 )
 # Given names and their short forms, which organisations of one person put before the family name.
 GIVEN = set(
-    "robert rob bob bobby william will bill billy elizabeth liz beth betty eleanor ellie nora johannes hans jo theodore ted theo francisco paco edward ed eddie ted alexander alex sasha james jim jimmy katherine kate kathy "
-    "patricia pat patty margaret maggie peggy maximilian max giuseppe beppe dorothy dot richard rick dick charles charlie chuck michael mike thomas tom john jack david dave susan sue maria anna peter paul joseph joe dottie lizzie eliza ellie kathie kat meg trish tricia rich richie willy eddy jamie jimmie sandy lex charley teddy hannes beppe peppe pino pancho cisco maxi fran frank franz ned nell nellie lena bert bertie robbie bobbie wm chas jas alec sascha marge margie rita pattie kathryn kitty cathy catherine ricky dickie dotty dolly dodie betsy bess elsie lisa lottie theodor".split()
+    "robert rob bob bobby robbie bobbie william will bill billy willy wm elizabeth liz lizzie beth betty betsy bess eliza elsie lisa lottie eleanor ellie elie nora nell nellie lena johannes hans hannes jo theodore theodor ted theo teddy francisco paco pancho cisco fran frank franz "
+    "edward ed eddie eddy ned alexander alex alec lex sasha sascha sandy james jim jimmy jamie jimmie jas katherine kathryn catherine kate kathy kathie kat kitty cathy patricia pat patty pattie patti trish tricia margaret maggie peggy meg marge margie rita maximilian max maxi giuseppe beppe peppe pino "
+    "dorothy dot dottie dotty dolly dodie richard rick dick rich richie ricky dickie charles charlie chuck charley chas michael mike thomas tom john jack david dave susan sue maria anna peter paul joseph joe bert bertie".split()
 )
-# Words of a line of business, each with its abbreviations.
-BUSINESS = """
-services svcs serv|architects arch architekten|dental|transport transp transporte|council|county cnty|academy acad|water|travel|municipal mun munic|department dept|authority auth|office|law|petroleum|accounting acctg acct|attorneys attys|capital cap|electric electr elec
-practice|management mgmt mgt|brewing|associates assocs assoc|catering|freight|resort|college coll|bakery|logistica logistique|construction constr const|shipping|energy|union|credit|school sch|logistics|cement|financial fin|hotels|insurance ins|supermarkets|builders bldrs
-district dist|solar|power|farms|networks|data|furniture|university univ|dairy|systems sys syst|software|clinica clinique|brothers bros|electronics|pharmacy pharm|health|stores|precision|tools|trading|foods|technologies technology tech|stadtwerke|alimentacion alimentos|hospital hosp ospedale
-spedition|getranke|industries ind inds|mobelwerke|manufacturing mfg|klinik|steel|works|plastics|maschinenbau|construccion construcoes|laboratory lab labs|center centre ctr|medical med|engineering eng engr|papelera|energie|travaux|generale|batiment|costruzioni|ceramiche|mobler|bygg|sjukvard|bouwgroep
-attivita|portuali|akeri|zuivel|educacao|spolka|transportowa|zywnosc|budownictwo|τεχνικη|εταιρεια|κλινικη|ναυτιλιακη|торговыи|дом|комбинат|завод|больница|javascript|gateway|loading|dock|bad|cookies|bistro|fitness|coaching|timeout|gallery|winery|valley|salon|captcha|bookkeeping|studios|films|foundry
-"""
-_ALIAS = {w: g.split()[0] for line in BUSINESS.strip().split("\n") for g in line.split("|") for w in g.split()}
-# Two-letter codes and names of countries.
-_COUNTRIES = dict(
-    x.split("=") for x in "us=united states,de=germany,gb=united kingdom,uk=united kingdom,fr=france,it=italy,ca=canada,es=spain,br=brazil,in=india,au=australia,ar=argentina,nl=netherlands,at=austria,dk=denmark,ch=switzerland,jp=japan,"
-    "se=sweden,no=norway,pl=poland,gr=greece,ua=ukraine,za=south africa,mx=mexico,ie=ireland,pt=portugal,nz=new zealand,be=belgium,fi=finland,cz=czechia,ru=russia,by=belarus,bg=bulgaria,rs=serbia,cn=china,kr=south korea,tr=turkey,il=israel,sg=singapore,cl=chile,co=colombia".split(",")
-)
-LEGAL |= {w for name in _COUNTRIES.values() for w in name.split()}
-_OTHER_ALPHABET = {"japan", "greece", "ukraine", "russia", "belarus", "bulgaria", "serbia", ""}
-# Headlines that name an organisation in their gap.
-FRAMES = re.compile(
-    r"(?i)^(?:files of (.+) will be opened next week|announcement for the (.+) and its clients|we have news about (.+)|our company view: (.+) has been silent|who speaks for (.+)\?|what happened to the archives of (.+)\?|(.+) was contacted and will be given more time)$"
+# Common words of business, most of them English, known also in a table too small to learn them from.
+BUSINESS = frozenset(
+    "services architects dental transport council county academy water travel municipal department authority office law petroleum accounting attorneys capital electric practice management brewing associates catering freight resort college bakery construction shipping energy union credit "
+    "school logistics cement financial hotels insurance supermarkets builders district solar power farms networks data furniture university dairy systems software brothers electronics pharmacy health stores precision tools trading foods technologies hospital industries manufacturing "
+    "steel works plastics laboratory center medical engineering clinic winery завод больница".split()
 )
+# Common abbreviations too short to be read by their letters.
+_BRIEF = {"sys": "systems", "med": "medical", "lab": "laboratory", "ins": "insurance", "fin": "financial", "ind": "industries", "eng": "engineering", "mfg": "manufacturing", "mgt": "management", "ctr": "center", "sch": "school", "mun": "municipal", "cap": "capital", "bro": "brothers"}
+# Two-letter codes of countries.
+_COUNTRIES = {
+    "us": "united states", "de": "germany", "gb": "united kingdom", "uk": "united kingdom", "fr": "france", "it": "italy", "ca": "canada", "es": "spain", "br": "brazil", "in": "india", "au": "australia", "ar": "argentina",
+    "nl": "netherlands", "at": "austria", "dk": "denmark", "ch": "switzerland", "jp": "japan", "se": "sweden", "no": "norway", "pl": "poland", "gr": "greece", "ua": "ukraine", "za": "south africa", "mx": "mexico", "ie": "ireland",
+    "pt": "portugal", "nz": "new zealand", "be": "belgium", "fi": "finland", "cz": "czechia", "ru": "russia", "by": "belarus", "bg": "bulgaria", "rs": "serbia", "cn": "china", "kr": "south korea", "tr": "turkey", "il": "israel",
+    "sg": "singapore", "cl": "chile", "co": "colombia",
+}
+_PLACES = frozenset(w for name in _COUNTRIES.values() for w in name.split())
+_OTHER_ALPHABET = {"japan", "greece", "ukraine", "russia", "belarus", "bulgaria", "serbia", ""}
+_HOST = re.compile(r"(?:www\.)?[a-z0-9-]+\.[a-z]+")
 _NOT_NAMED = re.compile(r"(?i)^(?:|n/?a|none|null|nil|unknown|undisclosed|not disclosed|tba|tbd|\?+|[-—–]+)$")
-# Words that occur in error pages and fillers; only texts with one of them are compared with the whole phrases.
-_PAGE_WORDS = frozenset(
-    "http error errors forbidden gateway javascript script scripts noscript denied moment loading browser cookies cookie captcha database datos exception traceback onionsite onion found introuvable gefunden найдена session limit queue unavailable "
-    "reached unable service server erreichbar human attention timed timeout wait requests lorem ipsum dolor adipiscing minim perspiciatis foo asdf blah hello test ignore titel title titre título titulo here replace placeholder todo untitled template undefined null nan object you connection access".split()
-)
-_RUN = re.compile(r"(\w)\1{3}|[{}<>%$#@_\[\]]|[぀-ヿ]")
 _GREEK = (("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("ου", "u"), ("ευ", "ev"), ("αυ", "av"), *zip("αβγδεζηθικλμνξοπρστυφχψω", "a v g d e z i th i k l m n x o p r s t i f h ps o".split(), strict=True), ("ς", "s"))
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґё", "a b v g d e zh z i i k l m n o p r s t u f h ts ch sh sch - i - e yu ya i i e g e".replace("-", "").split(" "), strict=True))
 
 
-def normal(text: str) -> str:
-    """A clean text with letter case, accents and punctuation set aside."""
-    if text.isascii():
-        return " ".join(re.sub(r"[\W_]+", " ", text.lower()).split())
-    x = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c) or c in "\u3099\u309a")  # kana keep their voicing
-    return " ".join(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFC", x)).split())
-
-
 def _latin(word: str) -> str:
     """A word of another alphabet in Latin letters; kana by the names of their letters."""
     if word.isascii():
@@ -121,16 +116,82 @@ def spoken(words: list[str], kana: bool) -> str:
     return "".join(out)
 
 
-def _generic(word: str, common: frozenset[str]) -> bool:
-    return word in LEGAL or word in GIVEN or word in _ALIAS or word in common
+def _shortens(short: str, word: str) -> bool:
+    """Whether a word is an abbreviation of another: its beginning, or its first letter and consonants of it in their order."""
+    stem = short[:-1] if short.endswith("s") and len(short) > 3 else short
+    if short[:1] != word[:1] or len(short) >= len(word) or len(stem) < 3:
+        return False
+    if word.startswith(stem) or (word.startswith(stem[:-1]) and stem[-1] in word[len(stem) - 1 :] and len(stem) > 3):
+        return True
+    left = iter(word)
+    return not set(short[1:]) & set("aeiou") and all(c in left for c in short)
+
+
+class Business:
+    """Words of business, and the spellings that mean one of them: abbreviations, cognates, typing errors."""
+
+    def __init__(self, partners: dict[str, int]):
+        """``partners``: each word with the number of names it stands in; words of BUSINESS count as well."""
+        self.words = {w: 0 for w in BUSINESS} | {w: n for w, n in partners.items() if w not in LEGAL and w not in GIVEN and w not in _PLACES}
+        order = sorted(self.words, key=lambda w: (-self.words[w], w))
+        self.main: dict[str, str] = {}
+        alike: dict[str, list[str]] = {}
+        for w in order:
+            alike.setdefault(w[0], []).append(w)
+        for w in order:
+            # Of the words it may stand for, the most frequent one that isn't itself short for another.
+            self.main[w] = next((self.main[x] for x in alike[w[0]] if x != w and self.words[x] >= self.words[w] and self.main.get(x) == x and (_shortens(w, x) or self._kin(w, x))), w)
+        self.main.update(_BRIEF)
+        self.full = [w for w in order if self.main[w] == w and len(w) > 4]
+        self.shapes: dict[str, str] = {}
+        for w in order:
+            if len(w) >= 6:
+                for i in range(len(w)):
+                    self.shapes.setdefault(w[:i] + "?" + w[i + 1 :], w)
+                    self.shapes.setdefault(w[:i] + "-" + w[i + 1 :], w)
+        self.memo: dict[str, str | None] = {}
+
+    @staticmethod
+    def _kin(a: str, b: str) -> bool:
+        """Words of one stem, as in several languages: most of the longer one from the beginning on."""
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return same >= 5 and same * 5 >= max(len(a), len(b)) * 3
+
+    def __call__(self, word: str) -> str | None:
+        """The word of business that a word means, "" for an abbreviation of several, None for any other word."""
+        hit = self.main.get(word)
+        if hit is None:
+            if word not in self.memo:
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                self.memo[word] = self._read(word)
+            hit = self.memo[word]
+        return hit
+
+    def _read(self, word: str) -> str | None:
+        n = len(word)
+        if 3 < n < 7 and (cut_ := [w for w in self.full if (w.startswith(word) if set(word[1:]) & set("aeiou") else _shortens(word, w))]):
+            return cut_[0] if len(cut_) == 1 else ""
+        if n < 6:
+            return None
+        if long := [w for w in self.full if len(w) > n + 1 and w.startswith(word)]:
+            return long[0]
+        for i in range(n):
+            head, tail = word[:i], word[i + 1 :]
+            hit = self.shapes.get(head + "?" + tail) or (head + tail if n > 6 and head + tail in self.main else None) or self.shapes.get(head + "-" + word[i:])
+            if not hit and i + 1 < n and head + word[i + 1] + word[i] + word[i + 2 :] in self.main:
+                hit = head + word[i + 1] + word[i] + word[i + 2 :]
+            if hit:
+                return self.main[hit]
+        return None
 
 
 class Name:
     """The parts of one name: ``words`` that are distinctive, ``business`` words, and whether it was in another alphabet."""
 
-    __slots__ = ("business", "core", "foreign", "initial", "words")
+    __slots__ = ("abbreviated", "business", "core", "foreign", "initial", "words")
 
-    def __init__(self, text: str, common: frozenset[str]):
+    def __init__(self, text: str, known: Business):
         self.words: list[str] = []
         self.business: set[str] = set()
         self.foreign = False
@@ -138,121 +199,163 @@ class Name:
         if not text.isascii():
             text = re.sub(r"([぀-ヿ]+)", r" \1 ", text)
         for w in text.split():
-            if w in LEGAL or w in GIVEN or len(w) < 2 or w.isdigit():
+            if w in LEGAL or w in GIVEN or w in _PLACES or len(w) < 2 or w.isdigit():
                 if len(w) == 1 and not self.words and not self.initial:
                     self.initial = w
                 continue
-            if (b := _ALIAS.get(w)) or w in common:
-                self.business.add(b or w)
-                continue
-            b = _typo_of_business(w)
-            if b is not None:
+            if (b := known(w)) is not None:
                 self.business.add(b)
                 continue
-            if re.search(r"[㐀-鿿]", w):
-                self.business.add(w.replace("株式会社", ""))
-                continue
             if not w.isascii():
+                if re.search(r"[㐀-鿿]", w):
+                    self.business.add(w.replace("株式会社", ""))
+                    continue
                 t = _latin(w)
                 self.foreign |= not re.match(r"^[a-zß-öø-ÿłđœ]+$", w)
                 w = t
             self.words.append(sounded(w))
         self.business.discard("")
-        self.core = "".join(self.words)
-
-    def abbreviated(self) -> str:
-        """What a name of two words and one with the first of them cut down to its initial have in common, or ""."""
+        #: What a name of two words and one with the first of them cut down to its initial have in common, or "".
+        self.abbreviated = ""
         if len(self.words) == 2:
-            return f"i{self.words[0][:1]} {self.words[1]} {' '.join(sorted(self.business))}"
-        if len(self.words) == 1 and self.initial and len(self.words[0]) >= 5:
-            return f"i{self.initial} {self.words[0]} {' '.join(sorted(self.business))}"
-        return ""
-
-
-#: Abbreviations by cutting off the end: beginnings of four letters or more of one business word only.
-_CUT: dict[str, str] = {}
-for _w in sorted(_ALIAS):
-    for _i in range(4, len(_w) - 1):
-        _CUT[_w[:_i]] = _w if _CUT.get(_w[:_i], _w) in (_w, _ALIAS[_w]) or _ALIAS.get(_CUT.get(_w[:_i], "")) == _ALIAS[_w] else ""
-_BY_SHAPE: dict[str, str] = {}
-for _w in _ALIAS:
-    if len(_w) >= 6:
-        for _i in range(len(_w)):
-            _BY_SHAPE.setdefault(_w[:_i] + "?" + _w[_i + 1 :], _w)
-            _BY_SHAPE.setdefault(_w[:_i] + "-" + _w[_i + 1 :], _w)
-
-
-@lru_cache(maxsize=1 << 17)
-def _typo_of_business(word: str) -> str | None:
-    """The business word that a word is one edit or one exchange of neighbours away from, "" for a cut that several share."""
-    n = len(word)
-    if word in _CUT:
-        return _ALIAS.get(_CUT[word], "")
-    if n < 6:
-        return None
-    for i in range(n):
-        head, tail = word[:i], word[i + 1 :]
-        hit = _BY_SHAPE.get(head + "?" + tail) or (head + tail if n > 6 and head + tail in _ALIAS else None) or _BY_SHAPE.get(head + "-" + word[i:])
-        if not hit and i + 1 < n and head + word[i + 1] + word[i] + word[i + 2 :] in _ALIAS:
-            hit = head + word[i + 1] + word[i] + word[i + 2 :]
-        if hit:
-            return _ALIAS[hit]
-    return None
-
-
-def _suspicious(text: str, words: list[str] | None = None) -> bool:
-    return bool(_RUN.search(text)) or not _PAGE_WORDS.isdisjoint(words if words is not None else re.split(r"\W+", text.lower()))
-
-
-def _is_residue(text: str, words: list[str] | None = None) -> bool:
-    return _suspicious(text, words) and bool(VARIABLE.search(text) or DEFAULT.search(text) or FILLER.search(text) or PAGE.search(text) or SHARED.search(text))
-
-
-def title_name(title: str, post_type: str | None) -> str | None:
-    """The name that a clean title gives: what stands in the gap of a headline, or a victim's title without decoration."""
-    bare = _DECORATION.sub("", title.strip())
-    if _suspicious(bare):
-        bare = FILLER.sub(" ", DEFAULT.sub(" ", VARIABLE.sub(" ", bare)))
-        bare = re.sub(r"\(\s*[^()]{0,3}\s*\)|\[\s*\]|\s-\s*$", " ", bare).strip()
-    if m := FRAMES.match(bare):
-        return next(g for g in m.groups() if g)
-    if not bare or _is_residue(bare) or (post_type is not None and post_type.strip().lower() in ("headline", "review")):
-        return None
-    return bare
+            self.abbreviated = f"i{self.words[0][:1]} {self.words[1]} {' '.join(sorted(self.business))}"
+        elif len(self.words) == 1 and self.initial and len(self.words[0]) >= 5:
+            self.abbreviated = f"i{self.initial} {self.words[0]} {' '.join(sorted(self.business))}"
+            self.words = [self.initial + self.words[0]]  # a family name alone would be anyone's
+        self.core = "".join(self.words)
 
 
 def _acronym_like(name: Name) -> bool:
     return len(name.core) < LEAST
 
 
-def _site(url: str | None, common: frozenset[str]) -> tuple[str, str]:
+def _site(url: str | None, known: Business) -> tuple[str, str]:
     """(distinctive part, word of business) of a website's host."""
     if not url or _NOT_NAMED.match(url.strip()):
         return "", ""
     host = re.sub(r"^(?:https?://)?(?:www\d?\.)?", "", url.strip().lower()).split("/")[0]
     labels = host.split(".")
     words = [w for w in re.split(r"[^a-z0-9]+", labels[-2] if len(labels) > 1 else labels[0]) if w]
-    business = [w for w in words if _generic(w, common)]
-    core = "".join(sounded(w) for w in words if not _generic(w, common))
-    return (core, _ALIAS.get(business[0], business[0]) if business else "") if len(core) > 2 else ("", "")
+    generic = [w in LEGAL or w in GIVEN or w in _PLACES or known(w) is not None for w in words]
+    business = [w for w, g in zip(words, generic, strict=True) if g]
+    core = "".join(sounded(w) for w, g in zip(words, generic, strict=True) if not g)
+    return (core, known(business[0]) or business[0] if business else "") if len(core) > 2 else ("", "")
+
+
+def title_name(title: str, declared: str | None) -> str | None:
+    """The name that a clean title is, without its decoration and slots that kept a variable or default; None for one that is none.
+
+    Titles of headlines and reviews are none by themselves, only what stands in their gap is.
+    """
+    text = bare(title)
+    if holds_variable(text):
+        text = re.sub(r"\(\s*[^()]{0,3}\s*\)|\[\s*\]|\s-\s*$", " ", DEFAULT.sub(" ", VARIABLE.sub(" ", text))).strip()
+    if m := re.search(r"\s*[(\[]([^()\[\]]+)[)\]]\s*$", text):
+        if phrase(wording(m[1])) == "page":
+            text = text[: m.start()]
+    if not text or (declared is not None and declared.strip().lower() in ("headline", "review")) or phrase(wording(text)):
+        return None
+    return text
 
 
-def _common_words(rows: DataFrame) -> frozenset[str]:
-    """Words of business, whatever the language: those that stand beside many different partners, one in 1,500 of the names.
+def _read(rows: DataFrame) -> DataFrame:
+    """One narrow row for each row of the table: its texts in normal form, and what is counted over the table.
 
-    A name is the set of its words without legal forms, given names and known words of business, so that spellings of one
-    organisation are one name or few; a partner is what a name has beside the word. Misspelt partners of a family word begin
-    alike, so those of a business word must begin differently too: no initials with more than a third. Fewer than
-    ``PARTNERS`` tell nothing. A name has few words, so at most some 1,500 times the words of a name can reach the driver.
+    ``norm``: the organisation in normal form; ``name``: the same where it may name one; ``title``: the name that the title is;
+    ``sentence``: the bare title where plain words hold it together, as a headline may have a name in its gap.
     """
-    raw = F.regexp_extract_all("o", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    known = F.array(*(F.lit(w) for w in sorted(LEGAL | GIVEN | set(_ALIAS))))
-    names = rows.select(F.lower("organization").alias("o")).where("o is not null").select(F.array_sort(F.array_except(F.array_distinct(raw), known)).alias("ws"))
-    names = cut(names.select(F.filter("ws", lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$")).alias("ws")).where("size(ws) > 0").distinct())  # read twice
-    beside = names.select("ws", F.explode("ws").alias("w")).select("w", F.array_join(F.transform(F.array_remove("ws", F.col("w")), lambda x: F.substring(x, 1, 1)), "").alias("initial")).where("initial <> ''")
-    spread = beside.groupBy("w", "initial").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
-    total = names.agg(F.approx_count_distinct("ws")).first()[0]
-    return frozenset(normal(r["w"]) for r in spread.where((F.col("n") >= max(PARTNERS, total / 1500)) & (F.col("most") * 3 <= F.col("n"))).collect())
+    model = letter_bigrams(rows, ("organization", "post_title"))
+    kind = rows.schema["id"].dataType.simpleString()
+    t_ = pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cleaner = Cleaner(model)
+        for b in batches:
+            out = []
+            for i, o, t, p, c, url, g, r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                norm = name = title = sentence = template = slots = said = page = None
+                if o is not None:
+                    org = cleaner(o)
+                    norm = normal(org)
+                    if norm and not _NOT_NAMED.match(org) and not holds_variable(org) and not phrase(re.sub(r"\d+", "9", norm)):
+                        name = norm
+                if p is not None and not _type_residue(p):
+                    said = p.strip().lower()
+                if t is not None:
+                    clean = t if t is o else cleaner(t)
+                    text = bare(clean)
+                    page = "" if holds_variable(clean) else wording(text)
+                    if page != "" or text:
+                        if (found := title_name(clean, "victim" if name is not None or said is None else said)) is not None:
+                            title = normal(found)
+                        if sum(w.islower() for w in text.split()) >= 2:
+                            template, slots = aligned(text)
+                            if is_sentence(template, 2):
+                                sentence = text
+                            else:
+                                template = slots = None
+                place = " ".join((c or "").casefold().split())
+                if not url or _NOT_NAMED.match(url.strip()):  # a host in place of a name says as much
+                    url = next((x.strip() for x in (o, t) if x and "." in x and _HOST.fullmatch(x.strip())), None)
+                out.append((i, norm, name, title if title != norm or name is None else None, o is None, page or None, said, sentence, template, slots, _COUNTRIES.get(place, place) or None, url, g, r))
+            kinds = (b.schema.field(0).type, t_, t_, t_, pa.bool_(), t_, t_, t_, t_, pa.list_(t_), t_, t_, t_, t_)
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "norm", "name", "title", "unnamed", "wording", "said", "sentence", "template", "slots", "place", "url", "group_id", "record_id"])
+
+    narrow = rows.select("id", "organization", "post_title", "post_type", "country", F.try_element_at("claim_details", F.lit("organization_website")).alias("site"), F.col("group_id").cast("string"), F.col("record_id").cast("string"))
+    return narrow.mapInArrow(run, f"id {kind}, norm string, name string, title string, unnamed boolean, wording string, said string, sentence string, template string, slots array<string>, place string, url string, group_id string, record_id string")
+
+
+def business_words(names: DataFrame) -> dict[str, int]:
+    """{word: names} of the words of business, whatever the language: those that stand beside many different partners.
+
+    ``names``: (name) in normal form. A name is the set of its words without legal forms and given names; a partner is what
+    a name has beside the word. Misspelt partners of a family word begin alike, so the partners of a business word
+    must be of PARTNERS kinds at least, by their initials, none with more than a third, and the word in one of RATE names. Words
+    that as many rows hold are looked at only, a few for each of RATE names, so what reaches the driver has a bound.
+    """
+    known = F.array(*(F.lit(w) for w in sorted(LEGAL | GIVEN | _PLACES)))
+    words = F.filter(F.array_distinct(F.split("name", " ")), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$"))
+    spelt = names.where("name is not null").select(words.alias("ws"))
+    frequent = spelt.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= PARTNERS) & ~F.col("w").isin(list(LEGAL | GIVEN | _PLACES)))
+    total = spelt.count()
+    candidates = frequent.where(F.col("n") * RATE >= total).select("w")
+    beside = spelt.select(F.array_sort(F.array_except("ws", known)).alias("ws")).select("ws", F.explode("ws").alias("w")).join(candidates, "w")
+    partners = F.array_remove("ws", F.col("w"))
+    initial = F.array_join(F.transform(partners, lambda x: F.substring(x, 1, 1)), "")
+    distinct = beside.select("w", initial.alias("initial"), F.xxhash64(F.array_join(partners, " ")).alias("partner")).where("initial <> ''").distinct()
+    spread = distinct.groupBy("w", "initial").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("kinds"))
+    told = spread.where((F.col("kinds") >= PARTNERS) & (F.col("most") * 3 <= F.col("n")) & (F.col("n") * RATE >= total))
+    return {r["w"]: r["n"] for r in told.collect()}
+
+
+def headline_gaps(sentences: DataFrame) -> dict[str, tuple[int, int]]:
+    """{template: (first, last)}: headlines with names in a gap, and which slots the gap reaches from and to.
+
+    ``sentences``: (template, slots). The same template with varying contents of a slot has a gap there; slots whose contents never
+    vary are words of the headline. At least HEADLINES rows and one in HEADLINE_RATE of all sentences, so that many templates
+    at most reach the driver.
+    """
+    each = sentences.where("template is not null").select("template", F.posexplode("slots").alias("pos", "slot"))
+    told = each.groupBy("template", "pos").agg(F.count("*").alias("n"), (F.min("slot") < F.max("slot")).alias("varies"), F.max(F.length("slot")).alias("longest"))
+    total = sentences.where("template is not null").count()
+    rows = told.where((F.col("n") >= HEADLINES) & (F.col("n") * HEADLINE_RATE >= total) & F.col("varies") & (F.col("longest") > 2)).groupBy("template").agg(F.min("pos"), F.max("pos")).collect()
+    return {r[0]: (r[1], r[2]) for r in rows}
+
+
+def gap(sentence: str, first: int, last: int) -> str:
+    """What stands from one slot of a headline to another."""
+    _, slots = aligned(sentence)
+    at = 0
+    begin = end = 0
+    for k, s in enumerate(slots):
+        at = sentence.index(s, at)
+        if k == first:
+            begin = at
+        at += len(s)
+        if k == last:
+            end = at
+    return sentence[begin:end]
 
 
 def _described(rows: DataFrame) -> DataFrame:
@@ -261,12 +364,17 @@ def _described(rows: DataFrame) -> DataFrame:
     Hints are what several rows of one organisation may share beside its name: the listing they copy, a name cut down to an
     initial, the name as another alphabet has it.
     """
-    common = _common_words(rows)
+    read = cut(_read(rows))
+    pages = repeated_pages(read.select("wording", "said", F.col("group_id").alias("origin"), F.lit(False).alias("shared")))
+    known = Business(business_words(read.select("name")))
+    gaps = headline_gaps(read.select("template", "slots"))
+    # A page in place of a title is one in place of the organisation, too, where the two are alike.
+    judged = read.join(pages.select("wording", F.lit(True).alias("page")), "wording", "left").where(F.col("page").isNull() | F.col("name").isNotNull())
+    clear = judged.select("id", "norm", F.when(F.col("page").isNull() | (F.regexp_replace("name", r"\d+", "9") != F.col("wording")), F.col("name")).alias("name"), F.when(F.col("page").isNull(), F.col("title")).alias("title"), F.when(F.col("page").isNull(), F.col("sentence")).alias("sentence"), "template", "place", "url", "group_id", "record_id")
     kind = rows.schema["id"].dataType.simpleString()
     t_ = pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cleaner = Cleaner({})
         memo: dict[str, Name] = {}
 
         def named(text: str) -> Name:
@@ -274,21 +382,18 @@ def _described(rows: DataFrame) -> DataFrame:
             if n is None:
                 if len(memo) > 100_000:
                     memo.clear()
-                n = memo[text] = Name(text, common)
+                n = memo[text] = Name(text, known)
             return n
 
         for b in batches:
             out = []
-            for i, o, t, p, c, url, g, r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                org = cleaner(o) if o is not None else None
-                norm = None if org is None else normal(org)
-                usable = bool(org) and not _NOT_NAMED.match(org) and not _is_residue(org, norm.split())
-                head = named(norm) if usable else None
+            for i, norm, name, title, sentence, template, c, url, g, r in zip(*(b.column(k).to_pylist() for k in range(10)), strict=True):
+                head = named(name) if name is not None else None
                 second = None
-                if t is not None and (head is None or _acronym_like(head) or o not in t):  # a title that holds the name adds nothing
-                    typed = "victim" if head is not None or (p is not None and _type_residue(p)) else p
-                    if said := title_name(cleaner(t), typed):
-                        second = named(normal(said))
+                if sentence is not None and template in gaps:
+                    title = normal(gap(sentence, *gaps[template]))
+                if title and (head is None or _acronym_like(head) or name not in title):  # a title that holds the name adds nothing
+                    second = named(title)
                 if head is None and second is None:
                     continue
                 words, business, foreign = [], set(), False
@@ -299,8 +404,8 @@ def _described(rows: DataFrame) -> DataFrame:
                 for n in (head, second):
                     if n is not None and _acronym_like(n) and small is None and len(n.core) > 1 and not n.initial:
                         small = n
-                    if n is not None and (x := n.abbreviated()):
-                        short.append(x)
+                    if n is not None and n.abbreviated:
+                        short.append(n.abbreviated)
                     if n is None or _acronym_like(n) or (nodes and not _alike(nodes[0], n.core)):
                         continue
                     if not nodes:
@@ -313,13 +418,8 @@ def _described(rows: DataFrame) -> DataFrame:
                         nodes.append(small.core)
                     elif business:
                         short.append(f"c{small.core} {' '.join(sorted(business))}")
-                place = " ".join((c or "").casefold().split())
-                place = _COUNTRIES.get(place, place)
-                site, site_business = _site(url, common)
-                if not site:  # a host in place of a name says as much
-                    for x in (org, t):
-                        if x and "." in x and re.fullmatch(r"(?:www\.)?[a-z0-9-]+\.[a-z]+", x.strip()):
-                            site, site_business = _site(x, common)
+                place = c or ""
+                site, site_business = _site(url, known)
                 if not business and site_business:
                     business = {site_business}
                 if len(site) >= LEAST:
@@ -339,8 +439,7 @@ def _described(rows: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (b.schema.field(0).type, t_, pa.list_(t_), pa.list_(t_), t_, t_, t_, t_), strict=True)], names=["id", "norm", "cores", "hints", "words", "business", "place", "site"])
 
-    narrow = rows.select("id", "organization", "post_title", "post_type", "country", F.try_element_at("claim_details", F.lit("organization_website")).alias("site"), "group_id", "record_id")
-    return narrow.mapInArrow(run, f"id {kind}, norm string, cores array<string>, hints array<string>, words string, business string, place string, site string")
+    return clear.mapInArrow(run, f"id {kind}, norm string, cores array<string>, hints array<string>, words string, business string, place string, site string")
 
 
 def _alike(a: str, b: str) -> bool:
@@ -361,10 +460,10 @@ _INTACT = {
 
 @lru_cache(maxsize=4096)
 def _cuts(n: int, one_word: bool) -> tuple[list, list]:
-    """(own cells, cells of shorter names) of a name of ``n`` letters: what stands before a cell's text, and its two spans."""
+    """(own cells, cells to look in) of a name of ``n`` letters: what tells a kind of cell apart, and the two spans of its text."""
     quarters = lambda k: [k * i // 4 for i in range(5)]
     q = quarters(n)
-    own = [(f"{n} {i}{j} ", q[i], q[i + 1], q[j], q[j + 1]) for (i, j), _, _ in dict.fromkeys(_INTACT[0]) if n >= QUARTERED]
+    own = [((n, i, j), q[i], q[i + 1], q[j], q[j + 1]) for (i, j) in dict.fromkeys(ij for ij, _, _ in _INTACT[0]) if n >= QUARTERED]
     other = []
     for d in range(-RADIUS if one_word else 0, RADIUS + 1):
         if n - d < QUARTERED:
@@ -372,65 +471,118 @@ def _cuts(n: int, one_word: bool) -> tuple[list, list]:
         q = quarters(n - d)
         for (i, j), x, y in _INTACT[d]:
             if q[i] + x >= 0 and q[i + 1] + x <= n and q[j] + y >= 0 and q[j + 1] + y <= n:
-                other.append((f"{n - d} {i}{j} ", q[i] + x, q[i + 1] + x, q[j] + y, q[j + 1] + y))
-    return list(dict.fromkeys(own)), other
+                other.append(((n - d, i, j), q[i] + x, q[i + 1] + x, q[j] + y, q[j + 1] + y))
+    return own, list(dict.fromkeys(other))
 
 
-def pivots(words: str) -> set[str]:
-    """The pivots in whose cells a name lies; two names within the radius share one, whatever their words.
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
-    Short names, and those an edit or two longer: the name and what is one or two deletions away from it. Of longer ones, two
-    edits leave two quarters intact: a name lies in the cells of its own pairs of quarters, and in those that a name of
-    its length or up to two letters less would have there. The words turned round have cells of their own; a name of one
-    word looks for them among longer names too, as it can't be turned itself.
-    """
-    ws = words.split(" ")
-    run = "".join(ws)
-    n = len(run)
-    turned = "".join(reversed(ws)) if len(ws) > 1 else run
-    own, other = _cuts(n, len(ws) == 1)
-    out = {p + run[a:b] + run[c:d] for p, a, b, c, d in own + other}
-    out.update(p + turned[a:b] + turned[c:d] for p, a, b, c, d in own)
-    if n < QUARTERED + RADIUS:
-        for w in {run, turned}:
-            less = {w[:i] + w[i + 1 :] for i in range(n)}
-            out |= {w} | less | {x[:i] + x[i + 1 :] for x in less for i in range(n - 1)}
+
+def _letters(texts: list[str], n: int) -> np.ndarray:
+    """Hashes of all beginnings of texts of ``n`` letters, a row for each text: polynomials in _BASE modulo 2 ** 64."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), n).astype(np.uint64)
+    out = np.zeros((len(texts), n + 1), dtype=np.uint64)
+    for k in range(n):
+        out[:, k + 1] = out[:, k] * _BASE + codes[:, k] + np.uint64(1)
+    return out
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), k, 1 << 64))
+
+
+def _mixed(x: np.ndarray, kind: tuple) -> np.ndarray:
+    """Hashes of one kind of cell, spread over all bits."""
+    x = (x ^ np.uint64(hash(kind) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def _span(h: np.ndarray, a: int, b: int) -> np.ndarray:
+    return h[:, b] - h[:, a] * _power(b - a)
+
+
+def _pairs_of_quarters(h: np.ndarray, cuts: list) -> list[np.ndarray]:
+    return [_mixed(_span(h, a, b) * _power(n + 1) + _span(h, c, d), (n, i, j)) for (n, i, j), a, b, c, d in cuts]
+
+
+def _deletions(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The hash of a text and of all texts one or two deletions away."""
+    out = [_mixed(h[:, n], (0,))]
+    for i in range(n):
+        once = h[:, i] * _power(n - 1 - i) + _span(h, i + 1, n)
+        out.append(_mixed(once, (0,)))
+        for j in range(i + 1, n):
+            out.append(_mixed((h[:, i] * _power(j - i - 1) + _span(h, i + 1, j)) * _power(n - 1 - j) + _span(h, j + 1, n), (0,)))
     return out
 
 
+def pivots(names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """(own, looked in, both) for each name: the pivots in whose cells it lies, and those where it meets others; 64-bit hashes.
+
+    A name has cells of its own pairs of quarters, also with its words turned round, and meets others in the cells that a
+    name of its length or up to two letters less would have there. A name of one word meets longer names, too, as it can't be
+    turned itself. Short names, and those an edit or two longer, lie in the cells of all their deletions and meet others
+    there. Two names within the radius share a pivot, whatever their words; a hash that two pivots share only adds pairs that
+    the metric then rejects.
+    """
+    empty = np.empty(0, dtype=np.int64)
+    own, other, both = [empty] * len(names), [empty] * len(names), [empty] * len(names)
+    groups: dict[tuple[int, bool], list[int]] = {}
+    runs = [w.replace(" ", "") for w in names]
+    for k, (w, r) in enumerate(zip(names, runs, strict=True)):
+        groups.setdefault((len(r), " " not in w), []).append(k)
+    for (n, one_word), members in groups.items():
+        h = _letters([runs[k] for k in members], n)
+        turned = h if one_word else _letters(["".join(reversed(names[k].split(" "))) for k in members], n)
+        cells, looks = _cuts(n, one_word)
+        mine = _pairs_of_quarters(h, cells) + ([] if one_word else _pairs_of_quarters(turned, cells))
+        if mine:
+            for k, row in zip(members, np.stack(mine, axis=1), strict=True):
+                own[k] = row
+        if looks:
+            for k, row in zip(members, np.stack(_pairs_of_quarters(h, looks), axis=1), strict=True):
+                other[k] = row
+        if n < QUARTERED + RADIUS:
+            short = _deletions(h, n) + ([] if one_word else _deletions(turned, n))
+            for k, row in zip(members, np.stack(short, axis=1), strict=True):
+                both[k] = np.unique(row)
+    return own, other, both
+
+
 def radius_links(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): pairs of distinct names within ``radius`` of each other, or of the shorter with its words turned round.
 
     ``names``: (words), the words of a name joined by spaces; the results have them without. Turned are the words of the
-    shorter of two names, of either if they are of one length, and of the longer if the shorter has one word only. Cells are
-    joined on the pivot's 64-bit hash; a hash that two pivots share only adds pairs that the metric then rejects. Both sides of
-    the join are one exchange.
+    shorter of two names, of either if they are of one length, and of the longer if the shorter has one word only. Of each
+    pivot the names that lie in its cell meet those that look into it.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"radius must lie between 0 and {RADIUS}")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(pivots(w)) for w in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["words", "pivots"])
+            own, other, both = pivots(b.column(0).to_pylist())
+            lists = [pa.array([np.concatenate((x, y)) for x, y in zip(side, both, strict=True)], pa.list_(pa.int64())) for side in (own, other)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["words", "own", "other"])
 
-    placed = names.select("words").mapInArrow(run_, "words string, pivots array<string>")
-    cells = placed.select("words", F.explode("pivots").alias("p")).select("words", F.xxhash64("p").alias("pivot"))
-    a, b = cells.select("pivot", F.col("words").alias("wa")), cells.select("pivot", F.col("words").alias("wb"))
+    placed = names.select("words").mapInArrow(run_, "words string, own array<long>, other array<long>")
+    a, b = placed.select(F.explode("own").alias("pivot"), F.col("words").alias("wa")), placed.select(F.explode("other").alias("pivot"), F.col("words").alias("wb"))
     run = lambda c: F.translate(c, " ", "")
     turned = lambda c: F.when(F.instr(c, " ") > 0, F.array_join(F.reverse(F.split(c, " ")), ""))
-    # Cheap conditions first: each pair once, and lengths, which an edit changes by one at most.
+    # Cheap conditions first: lengths, which an edit changes by one at most.
     more = F.length(run("wb")) - F.length(run("wa"))
-    may = (F.col("wa") < F.col("wb")) & (F.abs(more) <= radius)
+    may = (F.col("wa") != F.col("wb")) & (F.abs(more) <= radius)
     near = (
         (F.levenshtein(run("wa"), run("wb"), radius) >= 0)
         | (((more >= 0) | (F.instr("wb", " ") == 0)) & (F.levenshtein(turned("wa"), run("wb"), radius) >= 0))
         | (((more <= 0) | (F.instr("wa", " ") == 0)) & (F.levenshtein(run("wa"), turned("wb"), radius) >= 0))
     )
-    return a.join(b, "pivot").where(F.when(may, near).otherwise(False)).select(run("wa").alias("a"), run("wb").alias("b")).distinct()
+    met = a.join(b, "pivot").where(F.when(may, near).otherwise(False)).select(run("wa").alias("x"), run("wb").alias("y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of a graph of (a, b) longs: every node with the smallest one it is connected with.
+    """(node, component) of a graph of (a, b): every node with the smallest one it is connected with.
 
     Alternating large and small stars, each a join and an aggregation over the edges, until every edge leads to a node that
     leads nowhere else. Nothing is collected but whether that is so. The edges are written to the checkpoint folder after each
@@ -451,51 +603,36 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _split_family(profiles: list[dict]) -> list[int]:
-    """A number for each profile of a family: which of its organisations it belongs to.
+def _node(kind: str, *parts: Column) -> Column:
+    """A node of a graph that isn't a name: a kind and texts, null where one of them is."""
+    out = F.lit("\x01" + kind)
+    for p in parts:
+        out = F.concat(out, F.lit("\x01"), p)
+    return out
+
+
+def _parts_of_families(placed: DataFrame) -> DataFrame:
+    """(fact, part): which organisation of its family a profile belongs to, by the first of its facts; only families of several lines of business.
 
-    Profiles of one line of business belong together, as do those of one country or website. A group without business joins
-    the only one that doesn't contradict it, or the largest where it states no country either.
+    ``placed``: (family, fact, business, place, site). Profiles of one line of business belong together, as do those of one country or website.
+    A group without business joins the only one that doesn't contradict it, or the largest where it states no country either.
+    Joins and aggregations of distinct profiles only: no family comes together in one row.
     """
-    n = len(profiles)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first: dict[tuple[str, str], int] = {}
-    sets = [frozenset(p["business"].split()) if p["business"] else frozenset() for p in profiles]
-    by_set: dict[frozenset, int] = {}
-    for i, s in enumerate(sets):
-        if s:
-            parent[root(i)] = root(by_set.setdefault(s, i))
-    keys = sorted(by_set, key=lambda s: (len(s), sorted(s)))
-    for k, s in enumerate(keys):
-        for t in keys[k + 1 :]:
-            if s < t:
-                parent[root(by_set[t])] = root(by_set[s])
-    for column in ("site", "place"):
-        for i, x in enumerate(p[column] for p in profiles):
-            if x:
-                j = first.setdefault((column, x), i)
-                parent[root(i)] = root(j)
-    facts: dict[int, list] = {}
-    for i in range(n):
-        f = facts.setdefault(root(i), [set(), set(), 0])
-        f[0] |= sets[i]
-        f[1] |= {x for x in (profiles[i]["place"],) if x}
-        f[2] += profiles[i]["n"]
-    known = [k for k, f in facts.items() if f[0]] or [max(facts, key=lambda k: (len(facts[k][1]), facts[k][2], -k))]
-    for k, f in facts.items():
-        if f[0] or k in known:
-            continue
-        fits = [j for j in known if not f[1] or not facts[j][1] or f[1] & facts[j][1]]
-        if fits and (len(fits) == 1 or not f[1]):
-            parent[root(k)] = root(max(fits, key=lambda j: (facts[j][2], -j)))
-    return [root(i) for i in range(n)]
+    profiles = placed.groupBy("family", "fact", "business", "place", "site").agg(F.count("*").alias("n"))
+    several = placed.groupBy("family").agg((F.min("business") < F.max("business")).alias("several")).where("several").select("family")
+    profiles = cut(profiles.join(several, "family", "left_semi"))
+    stated = profiles.select("fact", F.explode(F.filter(F.array(_node("s", F.col("family"), F.col("site")), _node("p", F.col("family"), F.col("place"))), lambda x: x.isNotNull())).alias("b"))
+    # A line of business that is part of another one: they share the former's first word.
+    lines = profiles.where("business is not null").select("family", "fact", F.split("business", " ").alias("words")).distinct()
+    within = lines.select("family", F.col("fact").alias("a"), F.col("words").alias("wa"), F.get("words", F.lit(0)).alias("w")).join(lines.select("family", F.col("fact").alias("b"), F.col("words").alias("wb"), F.explode("words").alias("w")), ["family", "w"])
+    within = within.where((F.size("wa") < F.size("wb")) & (F.size(F.array_except("wa", "wb")) == 0)).select("a", "b")
+    joined = components(stated.select(F.col("fact").alias("a"), "b").unionByName(within))
+    grouped = cut(profiles.join(joined, F.col("fact") == F.col("node"), "left").select("family", "fact", F.coalesce("component", "fact").alias("part"), "business", "place", "n"))
+    parts = grouped.groupBy("family", "part").agg(F.max(F.col("business").isNotNull()).alias("lined"), F.max(F.col("place").isNotNull()).alias("placed"), F.sum("n").alias("n"))
+    lined = parts.where("lined").groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum((~F.col("placed")).cast("int")).alias("open"), F.min(F.when(~F.col("placed"), F.col("part"))).alias("only"))
+    home = F.when(F.col("lined"), F.col("part")).when(~F.col("placed"), F.col("largest")).when(F.col("open") == 1, F.col("only")).otherwise(F.col("part"))
+    resolved = parts.join(lined, "family").select("family", "part", home.alias("home"))
+    return grouped.select("family", "fact", "part").distinct().join(resolved, ["family", "part"]).select("fact", F.col("home").alias("part"))
 
 
 def entities(rows: DataFrame) -> DataFrame:
@@ -510,32 +647,40 @@ def entities(rows: DataFrame) -> DataFrame:
     facts = named.select(F.explode("cores").alias("core"), *(c for _, c in hints)).where(F.length("core").between(SHORT - 1, LEAST)).select("core", F.explode(F.filter(F.array(*(F.concat(F.lit(k), F.col(c)) for k, c in hints)), lambda x: x.isNotNull())).alias("fact")).distinct()
     doubtful = near.where((F.least(F.length("a"), F.length("b")) < LEAST) & (F.greatest(F.length("a"), F.length("b")) >= SHORT) & (F.levenshtein("a", "b", 1) >= 0))
     confirmed = doubtful.join(facts.select(F.col("core").alias("a"), "fact"), "a").join(facts.select(F.col("core").alias("b"), "fact"), ["b", "fact"]).select("a", "b").distinct()
-    links = sure.unionByName(confirmed).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    head = F.xxhash64(F.coalesce(F.get("cores", F.lit(0)), F.get("hints", F.lit(0))))
-    rowed = named.where(F.size("cores") > 1).select(head.alias("a"), F.explode(F.slice("cores", 2, 9)).alias("b")).select("a", F.xxhash64("b").alias("b")).distinct()
+    head = F.coalesce(F.get("cores", F.lit(0)), _node("h", F.get("hints", F.lit(0))))
+    rowed = named.where(F.size("cores") > 1).select(head.alias("a"), F.explode("cores").alias("b")).where("a <> b").distinct()
     # A hint links the names that share it with the smallest of them; most hints belong to one name only and link nothing.
-    hinted = named.select(head.alias("a"), F.explode("hints").alias("h")).select("a", F.xxhash64("h").alias("h")).distinct()
+    hinted = named.select(head.alias("a"), F.explode("hints").alias("h")).distinct()
     shared = hinted.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").select("h", "b")
-    family = components(links.unionByName(rowed).unionByName(hinted.join(shared, "h").select("a", "b")))
-    placed = cut(named.withColumn("node", head).join(family, "node", "left").select("id", "norm", F.coalesce("component", "node").alias("family"), "business", "place", "site"))
-    # Families of one line of business are whole. Of the others, only the distinct profiles come together in one row.
-    profiles = placed.groupBy("family", "business", "place", "site").agg(F.count("*").alias("n"))
-    mixed = profiles.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("business", "place", "site", "n"))).alias("all"), F.count_distinct("business").alias("k")).where("k > 1").select("family", "all")
+    family = components(sure.unionByName(confirmed).unionByName(rowed).unionByName(hinted.join(shared, "h").select("a", "b")))
+    fact = F.coalesce(_node("b", F.col("family"), F.col("business")), _node("s", F.col("family"), F.col("site")), _node("p", F.col("family"), F.col("place")), _node("", F.col("family")))
+    placed = named.select("id", "norm", head.alias("node"), "business", "place", "site").join(family, "node", "left").withColumn("family", F.coalesce("component", "node"))
+    placed = cut(placed.select("id", "norm", "family", fact.alias("fact"), "business", "place", "site"))
+    return placed.join(_parts_of_families(placed.drop("id", "norm")), "fact", "left").select("id", "norm", F.coalesce("part", "family").alias("entity"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(f, p["business"], p["place"], p["site"], part) for f, ps in zip(b["family"], b["all"], strict=True) for p, part in zip(ps, _split_family(list(ps)), strict=True)]
-            yield pd.DataFrame(out, columns=["family", "business", "place", "site", "part"])
 
-    parts = mixed.mapInPandas(split, "family long, business string, place string, site string, part int")
-    on = [placed["family"] == parts["family"]] + [placed[c].eqNullSafe(parts[c]) for c in ("business", "place", "site")]
-    return placed.join(parts, on, "left").select("id", "norm", F.xxhash64(placed["family"], F.coalesce("part", F.lit(0))).alias("entity"))
+def named_entities(rows: DataFrame) -> DataFrame:
+    """(id, entity, spellings, rows): the organisation that each row names, how many ways it is spelt and how many rows name it.
+
+    ``entity`` is a 128-bit digest. One row for each row that names an organisation; no pairs.
+    """
+    found = cut(entities(rows))
+    counted = found.groupBy("entity").agg(F.count_distinct("norm").alias("spellings"), F.count("*").alias("rows"))
+    return found.join(counted, "entity").select("id", F.md5(F.col("entity").cast("binary")).alias("entity"), "spellings", "rows")
 
 
-def variant_pairs(rows: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows about one organisation whose ``organization`` differs in normal form; null differs from all."""
+def variant_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows about one organisation whose ``organization`` differs in normal form; null differs from all.
+
+    The rows of an organisation are spread over blocks of some ``block`` rows, and each two of its blocks meet in a task of
+    their own, so that one with a third of all rows is as many tasks as its pairs take.
+    """
     found = cut(entities(rows))
-    many = found.join(found.groupBy("entity").agg(F.count("*").alias("n"), F.min("norm").alias("x"), F.max("norm").alias("y"), F.count("norm").alias("k")).where("n > 1 and (x <> y or k < n)").select("entity"), "entity", "left_semi")
-    a = many.select("entity", F.col("id").alias("id_a"), F.col("norm").alias("na"))
-    b = many.select("entity", F.col("id").alias("id_b"), F.col("norm").alias("nb"))
-    return a.join(b, "entity").where((F.col("id_a") < F.col("id_b")) & (F.col("na").isNull() | F.col("nb").isNull() | (F.col("na") != F.col("nb")))).select("id_a", "id_b")
+    counted = found.groupBy("entity").agg(F.count("*").alias("n"), F.min("norm").alias("x"), F.max("norm").alias("y"), F.count("norm").alias("k"))
+    several = counted.where("n > 1 and (x <> y or k < n)").select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    many = found.join(several, "entity").select("entity", "id", "norm", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    a = many.select("entity", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("ia"), F.col("norm").alias("na"))
+    b = many.select("entity", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("ib"), F.col("norm").alias("nb"))
+    differ = F.col("na").isNull() | F.col("nb").isNull() | (F.col("na") != F.col("nb"))
+    once = (F.col("ia") < F.col("ib")) | ((F.col("i") < F.col("j")) & (F.col("ia") != F.col("ib")))
+    return a.join(b, ["entity", "i", "j"]).where(once & differ).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

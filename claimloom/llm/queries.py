@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm.confusables import cleaned_fields
-from claimloom.llm.names import variant_pairs
+from claimloom.llm.names import named_entities, variant_pairs
 from claimloom.llm.packing import containers, fill
 from claimloom.llm.repetition import measured, repetitive
-from claimloom.llm.residue import with_residue
+from claimloom.llm.residue import with_residue, with_support
 from claimloom.llm.survivorship import survivors
 from claimloom.llm.tokenizer import encoded, token_counts
 from claimloom.session import spread, table
@@ -26,7 +26,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with template residue or an error page's text."""
-    return with_residue(table(spark, sf_dir, "victims").select("id", "post_title", "post_type")).select("id")
+    return with_residue(table(spark, sf_dir, "victims")).select("id")
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each such row has in place of content, and how many rows its template or page has."""
+    return with_support(table(spark, sf_dir, "victims"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +39,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "victims"))
 
 
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organisation that each row names, with its spellings and rows."""
+    return named_entities(table(spark, sf_dir, "victims"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +74,7 @@ def p9_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_bands": p9_bands,
 }
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from claimloom.llm.names import Name, _common_words, components, normal, radius_links, spoken, title_name, variant_pairs
+from claimloom.llm.names import BUSINESS, Business, Name, business_words, components, headline_gaps, named_entities, normal, radius_links, spoken, title_name, variant_pairs
 
 
 def pairs(victims, *rows):
@@ -25,9 +25,11 @@ def test_null_organisations_and_acronyms_go_by_the_title(victims):
         {"id": "a", "organization": None, "post_title": "Who speaks for Misukax Kistahi Architects GmbH?", "post_type": "review"}, {"id": "b", "organization": "MKA", "post_title": "🇦🇹 Misukax Kistahi Architects GmbH [LEAKED]", "post_type": "victim"},
         {"id": "c", "organization": "Misukax Kistahi Architects GmbH", "post_title": "Misukax Kistahi Architects GmbH", "post_type": "victim"}, {"id": "d", "organization": None, "post_title": "Files of Misukax Kistahi Architects will be opened next week", "post_type": "headline"},
         {"id": "e", "organization": "Misukax Kistahi Architects, GMBH", "post_title": "x", "post_type": "victim"}, {"id": "f", "organization": None, "post_title": "Press release 12", "post_type": "headline"}, {"id": "g", "organization": "HTTP 403 - Forbidden", "post_title": "HTTP 403 - Forbidden", "post_type": "victim"},
+        *({"id": f"x{i}", "organization": None, "post_title": t.format(n), "post_type": "headline"} for i, n in enumerate(("Dobrax Ltd", "Vemulon Inc", "Tasuri AG")) for t in ("Who speaks for {}?", "Files of {} will be opened next week")),
         {"id": "h", "organization": "HTTP 404 - Not Found", "post_title": "HTTP 404 - Not Found", "post_type": "victim"}, {"id": "i", "organization": None, "post_title": None, "post_type": None},
     ]
-    assert pairs(victims, *rows) == all_pairs("abcde") - {("c", "e")}
+    found = {p for p in pairs(victims, *rows) if not p[0].startswith("x")}
+    assert found == all_pairs("abcde") - {("c", "e")}
 
 
 def test_one_family_two_organisations(victims):
@@ -43,7 +45,7 @@ def test_other_alphabets(victims):
     rows = [{"id": "a", "organization": "デネブロメスツトリ病院", "country": "Japan"}, {"id": "b", "organization": "Denebro Mestutril", "country": "Japan"}, {"id": "c", "organization": "Завод Девума Вазодо", "country": "Ukraine"}, {"id": "d", "organization": "Devumal Vazodosk", "country": "Ukraine"}]
     rows = [{**r, "post_title": r["organization"], "post_type": "victim"} for r in rows]
     assert pairs(victims, *rows) == {("a", "b"), ("c", "d")}
-    assert spoken(["denebro", "mestutril"], True) == Name(normal("デネブロメスツトリ病院"), frozenset()).core
+    assert spoken(["denebro", "mestutril"], True) == Name(normal("デネブロメスツトリ病院"), Business({})).core
 
 
 def test_empty_table(victims):
@@ -120,14 +122,14 @@ def test_radius_join_of_one_word_run_together_and_short_names(make):
     assert want == got
 
 
-def test_words_of_an_organisation_with_many_spellings_are_not_words_of_business(victims):
+def test_words_of_an_organisation_with_many_spellings_are_not_words_of_business(victims, make):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(4))
     spellings = [f"Gatibrind{a}Zosamuve{b}{c}" for a in (" ", "-", " & ", ", ", "  ") for b in (" ", ", ", " - ") for c in ("Ltd", "LTD.", "Limited", "Inc", "GmbH", "S.A.", "Winery", "")]
     spellings += [f"Gatibrind {'Zosamuve'[:i]}{x}{'Zosamuve'[i + 1 :]} Ltd" for i in range(1, 8) for x in "aeiou"]
     others = [f"{word()} Querfeldbau" for _ in range(150)] + [f"{word()} {word()} Ltd" for _ in range(150)]
     rows = [{"id": f"{i}", "organization": n, "post_title": "x", "post_type": "headline"} for i, n in enumerate(spellings + others)]
-    assert _common_words(victims(*rows)) == {"querfeldbau"}
+    assert set(business_words(make([(normal(n),) for n in spellings + others], "name string"))) - BUSINESS == {"querfeldbau"}
     found = pairs(victims, *rows)
     assert all(("0", f"{i}") in found for i in range(1, len(spellings)) if normal(spellings[i]) != normal(spellings[0]))
 
@@ -137,3 +139,49 @@ def test_short_names(victims):
     sites = [("x", "Abc", "https://www.quabo.example/"), ("y", "Defgh Kilomano Ltd", "quabo.example")]
     rows = [{"id": i, "organization": n, "country": c, "post_title": n, "post_type": "victim"} for i, n, c in rows] + [{"id": i, "organization": n, "post_title": n, "post_type": "victim", "claim_details": {"organization_website": u}} for i, n, u in sites]
     assert pairs(victims, *rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("g", "h"), ("x", "y")}
+
+
+def test_words_of_business_by_abbreviation_stem_and_typing_error():
+    known = Business({"services": 90, "svcs": 9, "logistica": 50, "logistique": 20, "gmbh": 40, "robert": 30})
+    assert [known(w) for w in ("svcs", "serivces", "logistique", "engrg", "acctg", "univ", "mfg")] == ["services", "services", "logistica", "engineering", "accounting", "university", "manufacturing"]
+    assert known("gmbh") is None and known("robert") is None and known("fidopal") is None and known("elec") == ""
+
+
+def test_headlines_with_gaps_are_learned_from_the_table(make):
+    titles = [(f"◊ goes on about ◊ once more", ["It", n]) for n in ("Acme", "Bolt", "Corx")] + [("◊ to all of our readers", ["Welcome"])] * 5 + [("◊ was never seen before", [n]) for n in ("Acme", "Bolt")]
+    assert headline_gaps(make(titles, "template string, slots array<string>")) == {"◊ goes on about ◊ once more": (1, 1)}
+
+
+def test_pages_repeated_under_contradictory_types_name_nobody(victims):
+    page = "Lantern service is dreaming of sheep"
+    rows = [{"id": f"{i}", "group_id": f"g{i % 3}", "organization": page if i % 2 else None, "post_title": page, "post_type": ("victim", "headline", "review")[i % 3]} for i in range(9)]
+    assert pairs(victims, *rows) == set()
+
+
+def test_a_hot_organisation_meets_in_blocks(victims):
+    rows = [{"id": f"{i:02}", "organization": n, "post_title": n, "post_type": "victim"} for i, n in enumerate(["Mizudux Pikutrel Logistics", "Mizudux Pikutrell Logistics", "Mizudux-Pikutrel"] * 8)]
+    got = [(r["id_a"], r["id_b"]) for r in variant_pairs(victims(*rows, *rows[:2]), block=3).collect()]
+    want = {(a["id"], b["id"]) for a, b in itertools.combinations(rows, 2) if normal(a["organization"]) != normal(b["organization"])}
+    assert set(got) == want
+    whole = {r["id"]: (r["entity"], r["spellings"], r["rows"]) for r in named_entities(victims(*rows)).collect()}
+    assert len(whole) == 24 and len(set(whole.values())) == 1 and whole["00"][1:] == (3, 24)
+
+
+def test_radius_join_of_names_of_one_to_three_words(make):
+    rnd = random.Random(5)
+    letters = "bdgklmnprstaeiou"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 16)))
+
+    def edit(s):
+        i = rnd.randrange(len(s))
+        return rnd.choice((s[:i] + s[i + 1 :], s[:i] + rnd.choice(letters) + s[i:], s[:i] + rnd.choice(letters) + s[i + 1 :])).strip() or "a"
+
+    names = set()
+    for k in range(240):
+        n = " ".join(word() for _ in range(1 + k % 3))
+        names |= {n, " ".join(edit(n).split()), " ".join(edit(edit(n)).split()), " ".join(edit(edit(edit(n))).split())}
+    names = sorted({n.replace(" ", ""): n for n in sorted(names)}.values())
+    run = lambda n: n.replace(" ", "")
+    close = [(x, y) for x, y in itertools.combinations(names, 2) if abs(len(run(x)) - len(run(y))) <= 2 and distance(run(x), run(y)) <= 2]
+    got = {tuple(sorted((r["a"], r["b"]))) for r in radius_links(make([(n,) for n in names], "words string")).collect()}
+    assert len(close) > 400 and all(tuple(sorted((run(x), run(y)))) in got for x, y in close)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from claimloom.llm.residue import residue, with_residue
+from claimloom.llm.residue import residue, with_residue, with_support
 
 FOUND = [
     "{{company}}", "Leak: ${title} [LEAKED]", "Acme undefined", "Acme <%= state %>", "{{flag}} Acme", "Acme [%STATUS%]", "Acme (lorem ipsum dolor sit amet)", "Announcement for the <?php echo $org; ?> and its clients", "#{COMPANY_NAME}", "@@name@@", "[[victim.name]]", "__title__", "<<company>>", "$victim.name$",
@@ -43,3 +43,20 @@ def test_templates_of_the_table(make):
 def test_shared_wordings_are_counted_by_the_whole_title(make):
     rows = [("a", "Unavailable", "headline"), ("b", "Acme Widgets", "victim"), ("c", "LOGIN", "headline"), ("d", "Redirecting...", "headline"), ("e", "redirecting", "headline")]
     assert sorted(r["id"] for r in with_residue(make(rows, "id string, post_title string, post_type string")).collect()) == ["d", "e"]
+
+
+def test_whole_pages_are_induced_from_contradictory_repetition(make):
+    page = "The lantern of this service is out, ticket {}"
+    rows = [(f"p{i}", page.format(i), ("victim", "headline", "review")[i % 3], f"g{i % 2}") for i in range(6)]
+    rows += [("part", "Acme Widgets (the lantern of this service is out, ticket 9)", "victim", "g0")]
+    rows += [(f"h{i}", "Rules for visitors", "headline", f"g{i % 4}") for i in range(9)] + [(f"n{i}", "Acme Widgets", "victim", f"g{i % 4}") for i in range(9)]
+    rows += [(f"o{i}", "Only here and only twice", t, "g1") for i, t in enumerate(("victim", "headline"))] + [(f"s{i}", "One group only", t, "g1") for i, t in enumerate(("victim", "headline", "review"))]
+    v = make(rows, "id string, post_title string, post_type string, group_id string")
+    got = {r["id"]: (r["kind"], r["support"]) for r in with_support(v, phrases=False).collect()}
+    assert got == {f"p{i}": ("page", 6) for i in range(6)} | {"part": ("part", 6)}
+
+
+def test_kinds_and_support_of_slots(make):
+    rows = [(f"{i}", f"Leak: {n} was read today by {m} and others", "victim") for i, (n, m) in enumerate((("Acme", "Bolt"), ("Corx", "Dune"), ("{{name}}", "Emil")))] + [("b", "was read today by Bolt and others", "victim"), ("t", "Acme", "{{type}}")]
+    got = {r["id"]: (r["kind"], r["support"]) for r in with_support(make(rows, "id string, post_title string, post_type string")).collect()}
+    assert got == {"2": ("slot", 3), "b": ("blank", 1), "t": ("slot", 1)}
