@@ -61,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
         _FOLDERS.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
