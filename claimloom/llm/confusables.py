@@ -18,7 +18,9 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,18 +189,51 @@ class Cleaner:
         return new
 
 
+def _pairs(text: str, scripts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous letters, letters, counts) of the words of a text that are in one alphabet; 94 stands for a word's start.
+
+    ``scripts``: the script of each code point as a number, 0 for what isn't a letter and negative where it isn't known yet.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    for c in np.unique(codes[scripts[codes] < 0]):
+        s = script(chr(c))
+        scripts[c] = SCRIPTS.index(s) + 1 if s in SCRIPTS else len(SCRIPTS) + 1 if s else 0
+    kinds = scripts[codes]
+    starts = np.flatnonzero((kinds > 0) & (np.concatenate(([0], kinds[:-1])) == 0))
+    ends = np.flatnonzero((kinds > 0) & (np.concatenate((kinds[1:], [0])) == 0)) + 1
+    if not len(starts):
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.int64)
+    bounds = np.stack((starts, ends), axis=1).ravel()
+    bounds = bounds[:-1] if bounds[-1] == len(codes) else bounds
+    least, most = np.minimum.reduceat(kinds, bounds)[::2], np.maximum.reduceat(kinds, bounds)[::2]
+    good = (least == most) & (least <= len(SCRIPTS)) & (ends - starts >= 2)
+    inside = np.zeros(len(codes) + 1, dtype=np.int32)
+    inside[starts[good]] += 1
+    inside[ends[good]] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1]))
+    first = np.zeros(len(codes), dtype=bool)
+    first[starts[good]] = True
+    before = np.where(first[at], np.uint32(94), codes[at - 1])
+    both, counts = np.unique(before.astype(np.uint64) << np.uint64(32) | codes[at], return_counts=True)
+    return (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32), counts
+
+
 def letter_bigrams(texts: DataFrame, columns: Iterable[str]) -> dict[tuple[str, str], int]:
     """Counts of letter bigrams, word starts included, over all words of the columns that are in one alphabet of SCRIPTS.
 
-    Words are counted first, so each distinct word is cut into bigrams once. What reaches the driver is bounded by the
+    Each batch of rows counts its own in arrays; their sums are what leaves it. What reaches the driver is bounded by the
     alphabets, not by the rows: letters of a script followed by letters of the same script.
     """
-    alternatives = "|".join(rf"\p{{Is{s.title()}}}{{2,}}" for s in SCRIPTS)
-    words = texts.select(F.explode(F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(F.lower(F.col(c)), F.lit(rf"(?<!\p{{L}})(?:{alternatives})(?!\p{{L}})"), F.lit(0)), F.array().cast("array<string>")) for c in columns]))).alias("w"))
-    distinct = words.groupBy("w").count()
-    pairs = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.struct(F.when(i == 1, "^").otherwise(F.substring("w", i - 1, F.lit(1))).alias("a"), F.substring("w", i, F.lit(1)).alias("b")))
-    rows = distinct.select(F.explode(pairs).alias("p"), "count").groupBy("p.a", "p.b").agg(F.sum("count").alias("n")).collect()
-    return {(r["a"], r["b"]): r["n"] for r in rows}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scripts = np.full(0x110000, -1, dtype=np.int8)
+        for b in batches:
+            text = "\n".join(t for k in range(b.num_columns) for t in b.column(k).to_pylist() if t is not None).lower()
+            first, second, n = _pairs(text, scripts)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in first], pa.string()), pa.array([chr(c) for c in second], pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    counted = texts.select(*columns).mapInArrow(count, "a string, b string, n long")
+    return {(r["a"], r["b"]): r["n"] for r in counted.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
 def plain(c: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.confusables import Cleaner, letter_bigrams
-from claimloom.llm.residue import DEFAULT, VARIABLE, _type_residue, aligned, bare, holds_variable, is_sentence, normal, phrase, repeated_pages, wording
+from claimloom.llm.residue import _DIGITS, DEFAULT, VARIABLE, _type_residue, aligned, bare, differ, holds_variable, is_sentence, normal, phrase, repeated_pages, wording
 from claimloom.session import cut
 
 RADIUS, LEAST, SHORT, QUARTERED = 2, 8, 5, 10
@@ -71,6 +71,7 @@ _COUNTRIES = {
     "sg": "singapore", "cl": "chile", "co": "colombia",
 }
 _PLACES = frozenset(w for name in _COUNTRIES.values() for w in name.split())
+_UNTOLD = LEGAL | GIVEN | _PLACES
 _OTHER_ALPHABET = {"japan", "greece", "ukraine", "russia", "belarus", "bulgaria", "serbia", ""}
 _HOST = re.compile(r"(?:www\.)?[a-z0-9-]+\.[a-z]+")
 _NOT_NAMED = re.compile(r"(?i)^(?:|n/?a|none|null|nil|unknown|undisclosed|not disclosed|tba|tbd|\?+|[-—–]+)$")
@@ -104,18 +105,29 @@ def sounded(word: str) -> str:
     return word if "ch" in word else word.replace("c", "k")
 
 
-def spoken(words: list[str], kana: bool) -> str:
-    """What is left of Latin words when written in an alphabet of open syllables, or another one without final consonants."""
+_KANA = str.maketrans("vlfc", "brhk")
+_SYLLABLE = re.compile(r"([^aeiou]*)([aeiou])")
+
+
+@lru_cache(maxsize=1 << 16)
+def _spoken(word: str, kana: bool) -> str:
     out = []
-    for w in words:
-        for onset, vowel in re.findall(r"([^aeiou]*)([aeiou])", w):
-            if kana:
-                onset = onset.translate(str.maketrans("vlfc", "brhk"))
-                onset = "".join(c + ("o" if c in "td" else "u") for c in onset[:-1]) + onset[-1:]
-            out.append(onset + vowel)
+    for onset, vowel in _SYLLABLE.findall(word):
+        if kana:
+            onset = onset.translate(_KANA)
+            onset = "".join(c + ("o" if c in "td" else "u") for c in onset[:-1]) + onset[-1:]
+        out.append(onset + vowel)
     return "".join(out)
 
 
+def spoken(words: list[str], kana: bool) -> str:
+    """What is left of Latin words when written in an alphabet of open syllables, or another one without final consonants."""
+    return "".join(_spoken(w, kana) for w in words)
+
+
+_VOWELS = set("aeiou")
+
+
 def _shortens(short: str, word: str) -> bool:
     """Whether a word is an abbreviation of another: its beginning, or its first letter and consonants of it in their order."""
     stem = short[:-1] if short.endswith("s") and len(short) > 3 else short
@@ -124,7 +136,7 @@ def _shortens(short: str, word: str) -> bool:
     if word.startswith(stem) or (word.startswith(stem[:-1]) and stem[-1] in word[len(stem) - 1 :] and len(stem) > 3):
         return True
     left = iter(word)
-    return not set(short[1:]) & set("aeiou") and all(c in left for c in short)
+    return not set(short[1:]) & _VOWELS and all(c in left for c in short)
 
 
 class Business:
@@ -132,7 +144,7 @@ class Business:
 
     def __init__(self, partners: dict[str, int]):
         """``partners``: each word with the number of names it stands in; words of BUSINESS count as well."""
-        self.words = {w: 0 for w in BUSINESS} | {w: n for w, n in partners.items() if w not in LEGAL and w not in GIVEN and w not in _PLACES}
+        self.words = {w: 0 for w in BUSINESS} | {w: n for w, n in partners.items() if w not in _UNTOLD}
         order = sorted(self.words, key=lambda w: (-self.words[w], w))
         self.main: dict[str, str] = {}
         alike: dict[str, list[str]] = {}
@@ -143,12 +155,20 @@ class Business:
             self.main[w] = next((self.main[x] for x in alike[w[0]] if x != w and self.words[x] >= self.words[w] and self.main.get(x) == x and (_shortens(w, x) or self._kin(w, x))), w)
         self.main.update(_BRIEF)
         self.full = [w for w in order if self.main[w] == w and len(w) > 4]
+        #: Beginnings of one word only, and "" for those of several.
+        self.beginnings: dict[str, str] = {}
+        for w in self.full:
+            for i in range(4, len(w) - 1):
+                self.beginnings[w[:i]] = w if self.beginnings.get(w[:i], w) == w else ""
         self.shapes: dict[str, str] = {}
         for w in order:
             if len(w) >= 6:
                 for i in range(len(w)):
                     self.shapes.setdefault(w[:i] + "?" + w[i + 1 :], w)
                     self.shapes.setdefault(w[:i] + "-" + w[i + 1 :], w)
+        # One edit, or one exchange of neighbours, leaves the first two letters or the last two as they are; three in words of seven letters.
+        self.heads, self.tails = {w[:2] for w in order if len(w) >= 5}, {w[-2:] for w in order if len(w) >= 5}
+        self.heads3, self.tails3 = {w[:3] for w in order if len(w) >= 6}, {w[-3:] for w in order if len(w) >= 6}
         self.memo: dict[str, str | None] = {}
 
     @staticmethod
@@ -170,12 +190,13 @@ class Business:
 
     def _read(self, word: str) -> str | None:
         n = len(word)
-        if 3 < n < 7 and (cut_ := [w for w in self.full if (w.startswith(word) if set(word[1:]) & set("aeiou") else _shortens(word, w))]):
-            return cut_[0] if len(cut_) == 1 else ""
-        if n < 6:
+        if (hit := self.beginnings.get(word)) is not None:
+            return hit
+        if 3 < n < 7 and not _VOWELS & set(word[1:]):
+            meant = [w for w in self.full if _shortens(word, w)]
+            return (meant[0] if len(meant) == 1 else "") if meant else None
+        if n < 6 or (word[:3] not in self.heads3 and word[-3:] not in self.tails3 if n > 6 else word[:2] not in self.heads and word[-2:] not in self.tails):
             return None
-        if long := [w for w in self.full if len(w) > n + 1 and w.startswith(word)]:
-            return long[0]
         for i in range(n):
             head, tail = word[:i], word[i + 1 :]
             hit = self.shapes.get(head + "?" + tail) or (head + tail if n > 6 and head + tail in self.main else None) or self.shapes.get(head + "-" + word[i:])
@@ -199,7 +220,7 @@ class Name:
         if not text.isascii():
             text = re.sub(r"([぀-ヿ]+)", r" \1 ", text)
         for w in text.split():
-            if w in LEGAL or w in GIVEN or w in _PLACES or len(w) < 2 or w.isdigit():
+            if w in _UNTOLD or len(w) < 2 or w.isdigit():
                 if len(w) == 1 and not self.words and not self.initial:
                     self.initial = w
                 continue
@@ -236,7 +257,7 @@ def _site(url: str | None, known: Business) -> tuple[str, str]:
     host = re.sub(r"^(?:https?://)?(?:www\d?\.)?", "", url.strip().lower()).split("/")[0]
     labels = host.split(".")
     words = [w for w in re.split(r"[^a-z0-9]+", labels[-2] if len(labels) > 1 else labels[0]) if w]
-    generic = [w in LEGAL or w in GIVEN or w in _PLACES or known(w) is not None for w in words]
+    generic = [w in _UNTOLD or known(w) is not None for w in words]
     business = [w for w, g in zip(words, generic, strict=True) if g]
     core = "".join(sounded(w) for w, g in zip(words, generic, strict=True) if not g)
     return (core, known(business[0]) or business[0] if business else "") if len(core) > 2 else ("", "")
@@ -261,8 +282,8 @@ def title_name(title: str, declared: str | None) -> str | None:
 def _read(rows: DataFrame) -> DataFrame:
     """One narrow row for each row of the table: its texts in normal form, and what is counted over the table.
 
-    ``norm``: the organisation in normal form; ``name``: the same where it may name one; ``title``: the name that the title is;
-    ``sentence``: the bare title where plain words hold it together, as a headline may have a name in its gap.
+    ``norm``: the organisation in normal form; ``usable``: whether it may name one; ``ws``: those of its words that may tell
+    something; ``title``: the name that the title is, if another one; ``sentence``: the bare title where plain words hold it together, as a headline may have a name in its gap.
     """
     model = letter_bigrams(rows, ("organization", "post_title"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -273,58 +294,58 @@ def _read(rows: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for i, o, t, p, c, url, g, r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                norm = name = title = sentence = template = slots = said = page = None
+                org = norm = title = ws = sentence = template = slots = page = None
+                usable = False
+                said = p.strip().lower() if p is not None and not _type_residue(p) else None
                 if o is not None:
                     org = cleaner(o)
                     norm = normal(org)
-                    if norm and not _NOT_NAMED.match(org) and not holds_variable(org) and not phrase(re.sub(r"\d+", "9", norm)):
-                        name = norm
-                if p is not None and not _type_residue(p):
-                    said = p.strip().lower()
+                    usable = norm != "" and not _NOT_NAMED.match(org) and not holds_variable(org) and not phrase(_DIGITS.sub("9", norm))
+                    if usable:
+                        ws = " ".join([w for w in dict.fromkeys(norm.split()) if len(w) > 1 and w not in _UNTOLD and not w.isdigit()])
                 if t is not None:
-                    clean = t if t is o else cleaner(t)
+                    clean = org if t == o else cleaner(t)
                     text = bare(clean)
-                    page = "" if holds_variable(clean) else wording(text)
-                    if page != "" or text:
-                        if (found := title_name(clean, "victim" if name is not None or said is None else said)) is not None:
+                    if text == org and usable:
+                        page = _DIGITS.sub("9", norm)  # the title says the same as the organisation
+                    else:
+                        page = None if holds_variable(clean) else wording(text)
+                        if (found := title_name(clean, "victim" if usable or said is None else said)) is not None:
                             title = normal(found)
-                        if sum(w.islower() for w in text.split()) >= 2:
-                            template, slots = aligned(text)
-                            if is_sentence(template, 2):
-                                sentence = text
-                            else:
-                                template = slots = None
+                            title = None if usable and title == norm else title
+                    if sum(w.islower() for w in text.split()) >= 2:
+                        template, slots = aligned(text)
+                        if is_sentence(template, 2):
+                            sentence = text
+                        else:
+                            template = slots = None
                 place = " ".join((c or "").casefold().split())
                 if not url or _NOT_NAMED.match(url.strip()):  # a host in place of a name says as much
                     url = next((x.strip() for x in (o, t) if x and "." in x and _HOST.fullmatch(x.strip())), None)
-                out.append((i, norm, name, title if title != norm or name is None else None, o is None, page or None, said, sentence, template, slots, _COUNTRIES.get(place, place) or None, url, g, r))
-            kinds = (b.schema.field(0).type, t_, t_, t_, pa.bool_(), t_, t_, t_, t_, pa.list_(t_), t_, t_, t_, t_)
+                out.append((i, norm, usable, title, ws, page or None, said, sentence, template, slots, _COUNTRIES.get(place, place) or None, url, g, r))
+            kinds = (b.schema.field(0).type, t_, pa.bool_(), t_, t_, t_, t_, t_, t_, pa.list_(t_), t_, t_, t_, t_)
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "norm", "name", "title", "unnamed", "wording", "said", "sentence", "template", "slots", "place", "url", "group_id", "record_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "norm", "usable", "title", "ws", "wording", "said", "sentence", "template", "slots", "place", "url", "group_id", "record_id"])
 
     narrow = rows.select("id", "organization", "post_title", "post_type", "country", F.try_element_at("claim_details", F.lit("organization_website")).alias("site"), F.col("group_id").cast("string"), F.col("record_id").cast("string"))
-    return narrow.mapInArrow(run, f"id {kind}, norm string, name string, title string, unnamed boolean, wording string, said string, sentence string, template string, slots array<string>, place string, url string, group_id string, record_id string")
+    return narrow.mapInArrow(run, f"id {kind}, norm string, usable boolean, title string, ws string, wording string, said string, sentence string, template string, slots array<string>, place string, url string, group_id string, record_id string")
 
 
 def business_words(names: DataFrame) -> dict[str, int]:
     """{word: names} of the words of business, whatever the language: those that stand beside many different partners.
 
-    ``names``: (name) in normal form. A name is the set of its words without legal forms and given names; a partner is what
-    a name has beside the word. Misspelt partners of a family word begin alike, so the partners of a business word
-    must be of PARTNERS kinds at least, by their initials, none with more than a third, and the word in one of RATE names. Words
-    that as many rows hold are looked at only, a few for each of RATE names, so what reaches the driver has a bound.
+    ``names``: (ws), the distinct words of each name without legal forms and given names; a partner is what a name has beside a
+    word. Misspelt partners of a family word begin alike, so the partners of a business word must be of PARTNERS kinds at
+    least, by their initials, none with more than a third, and the word in one of RATE names. Partners are told apart only for
+    words that as many rows hold, a few for each of RATE names, so what reaches the driver has a bound.
     """
-    known = F.array(*(F.lit(w) for w in sorted(LEGAL | GIVEN | _PLACES)))
-    words = F.filter(F.array_distinct(F.split("name", " ")), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{N}+$"))
-    spelt = names.where("name is not null").select(words.alias("ws"))
-    frequent = spelt.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") >= PARTNERS) & ~F.col("w").isin(list(LEGAL | GIVEN | _PLACES)))
+    spelt = names.where("ws like '% %'").select(F.split("ws", " ").alias("ws"))
+    frequent = cut(spelt.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= PARTNERS))
     total = spelt.count()
-    candidates = frequent.where(F.col("n") * RATE >= total).select("w")
-    beside = spelt.select(F.array_sort(F.array_except("ws", known)).alias("ws")).select("ws", F.explode("ws").alias("w")).join(candidates, "w")
-    partners = F.array_remove("ws", F.col("w"))
-    initial = F.array_join(F.transform(partners, lambda x: F.substring(x, 1, 1)), "")
-    distinct = beside.select("w", initial.alias("initial"), F.xxhash64(F.array_join(partners, " ")).alias("partner")).where("initial <> ''").distinct()
-    spread = distinct.groupBy("w", "initial").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("kinds"))
+    beside = spelt.select("ws", F.explode("ws").alias("w")).join(frequent.where(F.col("n") * RATE >= total).select("w"), "w")
+    initials = F.concat_ws("", F.array_sort(F.transform("ws", lambda x: F.substring(x, 1, 1))))
+    distinct = beside.select("w", initials.alias("initials"), F.xxhash64(F.array_sort("ws")).alias("name")).distinct()
+    spread = distinct.groupBy("w", "initials").count().groupBy("w").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.count("*").alias("kinds"))
     told = spread.where((F.col("kinds") >= PARTNERS) & (F.col("most") * 3 <= F.col("n")) & (F.col("n") * RATE >= total))
     return {r["w"]: r["n"] for r in told.collect()}
 
@@ -337,7 +358,7 @@ def headline_gaps(sentences: DataFrame) -> dict[str, tuple[int, int]]:
     at most reach the driver.
     """
     each = sentences.where("template is not null").select("template", F.posexplode("slots").alias("pos", "slot"))
-    told = each.groupBy("template", "pos").agg(F.count("*").alias("n"), (F.min("slot") < F.max("slot")).alias("varies"), F.max(F.length("slot")).alias("longest"))
+    told = each.groupBy("template", "pos").agg(F.count("*").alias("n"), differ("slot").alias("varies"), F.max(F.length("slot")).alias("longest"))
     total = sentences.where("template is not null").count()
     rows = told.where((F.col("n") >= HEADLINES) & (F.col("n") * HEADLINE_RATE >= total) & F.col("varies") & (F.col("longest") > 2)).groupBy("template").agg(F.min("pos"), F.max("pos")).collect()
     return {r[0]: (r[1], r[2]) for r in rows}
@@ -365,17 +386,21 @@ def _described(rows: DataFrame) -> DataFrame:
     initial, the name as another alphabet has it.
     """
     read = cut(_read(rows))
-    pages = repeated_pages(read.select("wording", "said", F.col("group_id").alias("origin"), F.lit(False).alias("shared")))
-    known = Business(business_words(read.select("name")))
+    # Written, its size is known before the join.
+    pages = cut(repeated_pages(read.select("wording", "said", F.col("group_id").alias("origin"), F.lit(False).alias("shared"))))
+    known = Business(business_words(read.select("ws")))
     gaps = headline_gaps(read.select("template", "slots"))
     # A page in place of a title is one in place of the organisation, too, where the two are alike.
-    judged = read.join(pages.select("wording", F.lit(True).alias("page")), "wording", "left").where(F.col("page").isNull() | F.col("name").isNotNull())
-    clear = judged.select("id", "norm", F.when(F.col("page").isNull() | (F.regexp_replace("name", r"\d+", "9") != F.col("wording")), F.col("name")).alias("name"), F.when(F.col("page").isNull(), F.col("title")).alias("title"), F.when(F.col("page").isNull(), F.col("sentence")).alias("sentence"), "template", "place", "url", "group_id", "record_id")
+    real = F.col("page").isNull()
+    name = F.when(F.col("usable") & (real | (F.regexp_replace("norm", r"\d+", "9") != F.col("wording"))), F.col("norm"))
+    judged = read.join(pages.select("wording", F.lit(True).alias("page")), "wording", "left").where(real | F.col("usable"))
+    clear = judged.select("id", "norm", name.alias("name"), *(F.when(real, F.col(c)).alias(c) for c in ("title", "sentence")), "template", "place", "url", "group_id", "record_id")
     kind = rows.schema["id"].dataType.simpleString()
     t_ = pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, Name] = {}
+        sites: dict[str | None, tuple[str, str]] = {}
 
         def named(text: str) -> Name:
             n = memo.get(text)
@@ -419,7 +444,11 @@ def _described(rows: DataFrame) -> DataFrame:
                     elif business:
                         short.append(f"c{small.core} {' '.join(sorted(business))}")
                 place = c or ""
-                site, site_business = _site(url, known)
+                if url not in sites:
+                    if len(sites) > 100_000:
+                        sites.clear()
+                    sites[url] = _site(url, known)
+                site, site_business = sites[url]
                 if not business and site_business:
                     business = {site_business}
                 if len(site) >= LEAST:
@@ -569,7 +598,8 @@ def radius_links(names: DataFrame, radius: int = RADIUS) -> DataFrame:
     a, b = placed.select(F.explode("own").alias("pivot"), F.col("words").alias("wa")), placed.select(F.explode("other").alias("pivot"), F.col("words").alias("wb"))
     run = lambda c: F.translate(c, " ", "")
     turned = lambda c: F.when(F.instr(c, " ") > 0, F.array_join(F.reverse(F.split(c, " ")), ""))
-    # Cheap conditions first: lengths, which an edit changes by one at most.
+    # Never broadcast: sizes before the pivots are laid out tell nothing. Hashed by partition, as millions of rows of a few letters
+    # cost more to sort than to compare; a cell holds distinct names only. Cheap conditions first: lengths, which an edit changes by one at most.
     more = F.length(run("wb")) - F.length(run("wa"))
     may = (F.col("wa") != F.col("wb")) & (F.abs(more) <= radius)
     near = (
@@ -577,7 +607,7 @@ def radius_links(names: DataFrame, radius: int = RADIUS) -> DataFrame:
         | (((more >= 0) | (F.instr("wb", " ") == 0)) & (F.levenshtein(turned("wa"), run("wb"), radius) >= 0))
         | (((more <= 0) | (F.instr("wa", " ") == 0)) & (F.levenshtein(run("wa"), turned("wb"), radius) >= 0))
     )
-    met = a.join(b, "pivot").where(F.when(may, near).otherwise(False)).select(run("wa").alias("x"), run("wb").alias("y"))
+    met = a.hint("shuffle_hash").join(b, "pivot").where(F.when(may, near).otherwise(False)).select(run("wa").alias("x"), run("wb").alias("y"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -619,7 +649,7 @@ def _parts_of_families(placed: DataFrame) -> DataFrame:
     Joins and aggregations of distinct profiles only: no family comes together in one row.
     """
     profiles = placed.groupBy("family", "fact", "business", "place", "site").agg(F.count("*").alias("n"))
-    several = placed.groupBy("family").agg((F.min("business") < F.max("business")).alias("several")).where("several").select("family")
+    several = placed.groupBy("family").agg(differ("business").alias("several")).where("several").select("family")
     profiles = cut(profiles.join(several, "family", "left_semi"))
     stated = profiles.select("fact", F.explode(F.filter(F.array(_node("s", F.col("family"), F.col("site")), _node("p", F.col("family"), F.col("place"))), lambda x: x.isNotNull())).alias("b"))
     # A line of business that is part of another one: they share the former's first word.
@@ -649,10 +679,10 @@ def entities(rows: DataFrame) -> DataFrame:
     confirmed = doubtful.join(facts.select(F.col("core").alias("a"), "fact"), "a").join(facts.select(F.col("core").alias("b"), "fact"), ["b", "fact"]).select("a", "b").distinct()
     head = F.coalesce(F.get("cores", F.lit(0)), _node("h", F.get("hints", F.lit(0))))
     rowed = named.where(F.size("cores") > 1).select(head.alias("a"), F.explode("cores").alias("b")).where("a <> b").distinct()
-    # A hint links the names that share it with the smallest of them; most hints belong to one name only and link nothing.
-    hinted = named.select(head.alias("a"), F.explode("hints").alias("h")).distinct()
-    shared = hinted.groupBy("h").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").select("h", "b")
-    family = components(sure.unionByName(confirmed).unionByName(rowed).unionByName(hinted.join(shared, "h").select("a", "b")))
+    # A hint that names share is a node that links them; most hints belong to one name only and link nothing.
+    hinted = named.select(head.alias("a"), F.explode("hints").alias("h"))
+    shared = cut(hinted.groupBy("h").agg(differ("a").alias("shared")).where("shared").select("h"))
+    family = components(sure.unionByName(confirmed).unionByName(rowed).unionByName(hinted.join(shared, "h").select("a", _node("h", F.col("h")).alias("b"))))
     fact = F.coalesce(_node("b", F.col("family"), F.col("business")), _node("s", F.col("family"), F.col("site")), _node("p", F.col("family"), F.col("place")), _node("", F.col("family")))
     placed = named.select("id", "norm", head.alias("node"), "business", "place", "site").join(family, "node", "left").withColumn("family", F.coalesce("component", "node"))
     placed = cut(placed.select("id", "norm", "family", fact.alias("fact"), "business", "place", "site"))
@@ -676,11 +706,11 @@ def variant_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     their own, so that one with a third of all rows is as many tasks as its pairs take.
     """
     found = cut(entities(rows))
-    counted = found.groupBy("entity").agg(F.count("*").alias("n"), F.min("norm").alias("x"), F.max("norm").alias("y"), F.count("norm").alias("k"))
-    several = counted.where("n > 1 and (x <> y or k < n)").select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    counted = found.groupBy("entity").agg(F.count("*").alias("n"), differ("norm").alias("differ"), F.count("norm").alias("k"))
+    several = counted.where("n > 1 and (differ or k < n)").select("entity", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     many = found.join(several, "entity").select("entity", "id", "norm", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     a = many.select("entity", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("id").alias("ia"), F.col("norm").alias("na"))
     b = many.select("entity", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("id").alias("ib"), F.col("norm").alias("nb"))
-    differ = F.col("na").isNull() | F.col("nb").isNull() | (F.col("na") != F.col("nb"))
+    apart = F.col("na").isNull() | F.col("nb").isNull() | (F.col("na") != F.col("nb"))
     once = (F.col("ia") < F.col("ib")) | ((F.col("i") < F.col("j")) & (F.col("ia") != F.col("ib")))
-    return a.join(b, ["entity", "i", "j"]).where(once & differ).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    return a.join(b, ["entity", "i", "j"]).where(once & apart).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))

@@ -65,17 +65,22 @@ _STATUS = re.compile(
     r"(?:http )?(?:error )?[45]\d\d (?:error )?(?:error|bad request|unauthori[sz]ed|forbidden|not found|method not allowed|request time ?out|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time ?out)(?: nginx| apache| cloudflare| \d+)*"
     r"|(?:bad request|unauthori[sz]ed|forbidden|not found|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time ?out)(?: nginx| apache| cloudflare| \d+)*|(?:http )?error (?:code )?[45]?\d+"
 )
-_DECORATION = re.compile(r"^(?:[\U0001f1e6-\U0001f1ff]{2}\s*)?(?:(?:new victim|victim|leak|company)\s*:\s*)?|\s*\[(?:new|released|sold|published|data leak|all stolen data|leaked)\]\s*$", re.IGNORECASE)
+_BEFORE = re.compile(r"(?:[\U0001f1e6-\U0001f1ff]{2}\s*)?(?:(?:new victim|victim|leak|company)\s*:\s*)?", re.IGNORECASE)
+_AFTER = re.compile(r"\s*\[(?:new|released|sold|published|data leak|all stolen data|leaked)\]$", re.IGNORECASE)
+_MAY_BE_DEFAULT = ("undefined", "null", "NaN", "nil", "NULL", "#", "[object")
 _NAMED = re.compile(r"(?:\b[^\W\d_a-zß-öø-ÿ][\w.'’&/-]*[,)]*(?:\s+&(?=\s+[^\W\d_a-z]))?\s*)+")
 _PART = re.compile(r"[(\[]([^()\[\]]+)[)\]]|\s[-–—|]\s+(.+)$")
 _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[\W_]+")
 
 
+_PLAIN = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
 def normal(text: str) -> str:
     """A clean text with letter case, accents and punctuation set aside."""
     if text.isascii():
-        return " ".join(_SPLIT.sub(" ", text.lower()).split())
+        return " ".join(text.lower().translate(_PLAIN).split())
     x = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c) or c in "\u3099\u309a")  # kana keep their voicing
     return " ".join(_SPLIT.sub(" ", unicodedata.normalize("NFC", x)).split())
 
@@ -104,11 +109,12 @@ def phrase(wording_: str) -> str:
     words = wording_.split()
     if not words:
         return ""
-    for i, w in enumerate(words):
+    for i, w in enumerate(() if _ANYWHERE.keys().isdisjoint(words) else words):
         for p in _ANYWHERE.get(w, ()):
             if words[i : i + len(p)] == p:
                 return "page"
-        if len(w) > 3 and len(set(w)) == 1 and w.isalpha() and (len(w) > 4 or words.count(w) > 1):
+    for w in words:
+        if len(w) > 3 and w == w[0] * len(w) and w.isalpha() and (len(w) > 4 or words.count(w) > 1):
             return "page"
     if any(words[: len(p)] == p for p in _BEGINNING.get(words[0], ())) or wording_ in _WHOLE:
         return "page"
@@ -121,12 +127,15 @@ def phrase(wording_: str) -> str:
 
 def bare(title: str) -> str:
     """A title without the flag, prefix and tag that decorate it."""
-    return _DECORATION.sub("", title.strip())
+    title = title.strip()
+    if m := _BEFORE.match(title):
+        title = title[m.end() :]
+    return _AFTER.sub("", title) if title.endswith("]") else title
 
 
 def holds_variable(title: str) -> bool:
     """Whether a slot of the title keeps a variable or a default."""
-    return bool((_MAY_BE_VARIABLE.search(title) and VARIABLE.search(title)) or DEFAULT.search(title))
+    return bool((_MAY_BE_VARIABLE.search(title) and VARIABLE.search(title)) or (any(d in title for d in _MAY_BE_DEFAULT) and DEFAULT.search(title)))
 
 
 def aligned(title: str) -> tuple[str, list[str]]:
@@ -187,16 +196,22 @@ def _blank_forms(template: Column) -> Column:
     return F.transform(slots, lambda i: F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))), " "))
 
 
+def differ(column: str) -> Column:
+    """Aggregate: whether a text column holds different values, nulls aside. By hashes, as texts would have to be sorted."""
+    h = F.when(F.col(column).isNotNull(), F.xxhash64(column))
+    return F.min(h) < F.max(h)
+
+
 def repeated_pages(titles: DataFrame) -> DataFrame:
     """(wording, repeats) of the whole pages that their repetition shows to be no content.
 
     ``titles``: (wording, said, origin, shared): the wording of a title, its row's declared type and group, and whether
     headlines may share it. Rows of a wording contradict each other where they state different types; at least REPEATS rows
-    of more than one group, if groups are known. Minima and maxima only, so a wording of a third of all rows arrives as one
+    of more than one group, if groups are known. Minima, maxima and counts only, so a wording of a third of all rows arrives as one
     row for each input partition.
     """
     told = titles.where("wording <> ''").groupBy("wording").agg(
-        F.count("*").alias("repeats"), (F.min("said") < F.max("said")).alias("contradict"), (F.count("origin") == 0).alias("unknown"), (F.min("origin") < F.max("origin")).alias("apart"), F.max("shared").alias("shared")
+        F.count("*").alias("repeats"), differ("said").alias("contradict"), (F.count("origin") == 0).alias("unknown"), differ("origin").alias("apart"), F.max("shared").alias("shared")
     )
     return told.where((F.col("contradict") & (F.col("repeats") >= REPEATS) & (F.col("unknown") | F.col("apart"))) | (F.col("shared") & (F.col("repeats") >= 2))).select("wording", "repeats")
 
@@ -220,9 +235,9 @@ def _judged(rows: DataFrame, key: str) -> DataFrame:
 
 def _marked(judged: DataFrame, key: str, phrases: bool) -> DataFrame:
     """(key, kind, template, repeats) of the rows of ``judged`` that are residue."""
-    pages = repeated_pages(judged.select("wording", "said", "origin", (F.col("kind") == "shared").alias("shared")))
+    pages = cut(repeated_pages(judged.select("wording", "said", "origin", (F.col("kind") == "shared").alias("shared"))))  # written, its size is known before the joins
     # Sentences with a slot whose contents vary, each with the slot left out; rows of that wording have it blank.
-    sentences = judged.where(F.col("template").contains("◊") & F.col("template").rlike(r"(?:(?:^| )\p{Ll}+\b.*){3}")).groupBy("template").agg((F.min("slots") < F.max("slots")).alias("varies"))
+    sentences = judged.where(F.col("template").contains("◊") & F.col("template").rlike(r"(?:(?:^| )\p{Ll}+\b.*){3}")).groupBy("template").agg(differ("slots").alias("varies"))
     blanks = sentences.where("varies").select(F.explode(_blank_forms(F.col("template"))).alias("template")).distinct().withColumn("blank", F.lit(True))
     told = judged.join(pages.withColumnRenamed("repeats", "as_whole"), "wording", "left").join(pages.select(F.col("wording").alias("part"), F.col("repeats").alias("as_part")), "part", "left").join(blanks, "template", "left")
     kind = (
