@@ -1,10 +1,10 @@
 """The best representative of each group of duplicate records, field by field.
 
-One aggregation by group and attribute takes the extreme composite struct (has a value, source priority, time, value) of all
-copies; every attribute of a copy is a row of that aggregation, so open map keys need no list of columns, partial
-aggregation shrinks each input partition to one row per group and attribute before the shuffle, and a group that holds a
-third of all rows arrives as a handful of rows per input partition. A second, small aggregation brings the attributes of a
-group together under its smallest id. No window, no join, no list of a group's members.
+One aggregation by group and attribute takes the greatest composite struct (trust in the source, time, id, value; null without a
+value) of all copies; the fields that all copies have are one row of that aggregation, each id and each open map key another, so
+no list of columns is needed. Partial aggregation shrinks each input partition to one row per group and attribute before the
+shuffle, and a group that holds a third of all rows arrives as a handful of rows per input partition. A second, small
+aggregation brings the attributes of a group together under its smallest id. No window, no join, no list of a group's members.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ def is_stand_in(c: Column) -> Column:
     return c.isNull() | (t == "") | ~t.rlike(r"[\p{L}\p{N}]") | t.isin(STAND_INS)
 
 
-def survivors(records: DataFrame, source_conventions: DataFrame) -> DataFrame:
+def survivors(records: DataFrame, source_conventions: DataFrame, trust: Column | None = None) -> DataFrame:
     """(survivor_id, field_name, field_value) for every set of two or more copies and each field that has a value.
 
     Copies share ``group_id`` and ``record_id``, letter case aside; rows where either is null have no copies. The survivor's
     name is the smallest id. ``first_seen_at``: the earliest moment; ``source_ids``: the sorted union; ``listing_state``:
     ``listed`` if any copy says so, else ``unknown``; ``claim_details.<key>``: of the copy last seen latest whose value isn't
-    blank or a stand-in, ties going to the greater id. Copies of one whole row count as copies. Null arrays, maps and structs
-    add nothing; unreadable ``last_seen_at`` sorts before all others. More columns are ignored. An empty input gives an empty
-    result.
+    blank or a stand-in, ties going to the greater id. ``trust``, a whole number for a copy, goes before time: of copies that
+    differ in it only the most trusted count for first_seen_at and details; without it all are trusted alike. Copies of
+    one whole row count as copies. Null arrays, maps and structs add nothing; unreadable ``last_seen_at`` sorts before all
+    others. More columns are ignored. An empty input gives an empty result.
     """
     hist = F.col("historical_import.matched_source_ids")
     strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
@@ -44,45 +45,51 @@ def survivors(records: DataFrame, source_conventions: DataFrame) -> DataFrame:
         .select(
             F.lower("group_id").alias("__g"), F.lower("record_id").alias("__r"), "id", F.lower(F.trim("source_id")).alias("__src"), "first_seen_at",
             F.concat(strings(F.col("source_ids")), F.array("source_id"), strings(hist)).alias("__ids"),
-            (F.lower(F.trim("listing_state")) == "listed").alias("__listed"), "claim_details", F.try_to_timestamp("last_seen_at").alias("__seen"),
+            (F.lower(F.trim("listing_state")) == "listed").alias("__listed"), "claim_details", F.unix_micros(F.try_to_timestamp("last_seen_at")).alias("__seen"),
+            (F.lit(0) if trust is None else trust).cast("int").alias("__trust"),
         )
         .join(conventions(source_conventions), F.col("__src") == F.col("__sid"), "left")
     )
     copies = with_moments(copies, "first_seen_at", "__tz", "__order", "__first")
 
-    # An attribute row: field, an item that makes rows of one field distinct, and the composite whose maximum survives.
-    def row(field: Column, item: Column, has: Column, priority: Column, seen: Column, value: Column) -> Column:
-        best = F.struct(has.alias("has"), priority.alias("priority"), seen.alias("seen"), F.col("id").alias("tie"), value.alias("value"))
-        return F.struct(field.alias("field"), item.alias("item"), best.alias("best"))
+    # The composite whose maximum survives: trust, order in time, id, value; null where a copy has no value.
+    def best(order: Column, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.struct(F.col("__trust").alias("trust"), order.alias("order"), F.col("id").alias("tie"), value.alias("value")))
 
-    none, zero, no_time = F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("timestamp")
+    # A row of the aggregation for each copy, of the fields that all have, and for each id and detail of it.
+    def row(field: Column, item: Column, value: Column, listed: Column) -> Column:
+        return F.struct(field.alias("field"), item.alias("item"), value.alias("best"), listed.alias("listed"))
+
+    none, no_state = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    # The earlier the greater; a day goes before the moments in it.
+    day_only = F.length("__first") == 10
+    moment = F.unix_micros(F.try_to_timestamp(F.when(day_only, F.concat("__first", F.lit("T00:00:00Z"))).otherwise(F.col("__first")))) * 2 + (~day_only).cast("long")
     details = F.transform(
         F.filter(F.coalesce(F.map_entries("claim_details"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: ~is_stand_in(e["value"])),
-        lambda e: row(F.concat(F.lit("claim_details."), e["key"]), none, F.lit(True), zero, F.col("__seen"), e["value"]),
-    )
-    ids = F.transform(F.array_distinct(F.filter("__ids", lambda x: F.trim(x) != "")), lambda x: row(F.lit("source_ids"), x, F.lit(True), zero, no_time, x))
-    state = F.when(F.col("__listed"), "listed").otherwise("unknown")
-    own = F.array(
-        row(F.lit(""), none, F.lit(True), zero, no_time, none),
-        row(F.lit("first_seen_at"), none, F.col("__first").isNotNull(), zero, no_time, F.col("__first")),
-        row(F.lit("listing_state"), none, F.lit(True), F.when(F.col("__listed"), 1).otherwise(0), no_time, state),
+        lambda e: row(F.concat(F.lit("claim_details."), e["key"]), none, best(F.col("__seen"), e["value"]), no_state),
     )
-    # The earliest moment is the smallest text: the forms of moments and dates sort as they follow each other in time.
+    ids = F.transform(F.array_distinct(F.filter("__ids", lambda x: F.trim(x) != "")), lambda x: row(F.lit("source_ids"), x, best(F.lit(None).cast("long"), none), no_state))
+    own = F.array(row(F.lit(""), none, best(-moment, F.col("__first")), F.coalesce("__listed", F.lit(False))))
+    a, whole = F.col("__a"), F.col("field") == ""
     attributes = (
         copies.select("__g", "__r", "id", F.explode(F.concat(own, ids, details)).alias("__a"))
-        .groupBy("__g", "__r", F.col("__a.field").alias("field"), F.col("__a.item").alias("item"))
-        .agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("__a.best").alias("best"), F.min("__a.best.value").alias("earliest"))
+        .groupBy("__g", "__r", a["field"].alias("field"), a["item"].alias("item"))
+        .agg(F.count(a["listed"]).alias("n"), F.min(F.when(a["listed"].isNotNull(), F.col("id"))).alias("least"), F.max(a["best"]).alias("best"), F.max(a["listed"]).alias("listed"))
+        .select("__g", "__r", "field", "item", "n", "least", "listed", F.col("best.value").alias("value"))
     )
+    named = F.when(whole, "first_seen_at").when(F.col("field") != "source_ids", F.col("field"))
     groups = attributes.groupBy("__g", "__r").agg(
-        F.max(F.when(F.col("field") == "", F.col("n"))).alias("n"),
-        F.max(F.when(F.col("field") == "", F.col("least"))).alias("survivor_id"),
-        F.array_sort(F.collect_list(F.when(F.col("field") == "source_ids", F.col("item")))).alias("ids"),
-        F.collect_list(F.when(~F.col("field").isin("", "source_ids"), F.struct("field", F.when(F.col("field") == "first_seen_at", F.col("earliest")).otherwise(F.col("best.value")).alias("value")))).alias("fields"),
+        F.max("n").alias("n"),
+        F.max("least").alias("survivor_id"),
+        F.max("listed").alias("listed"),
+        F.array_sort(F.collect_list("item")).alias("ids"),
+        F.collect_list(F.when(named.isNotNull() & F.col("value").isNotNull(), F.struct(named.alias("field"), "value"))).alias("fields"),
     )
+    state = F.struct(F.lit("listing_state").alias("field"), F.when(F.col("listed"), "listed").otherwise("unknown").alias("value"))
     joined = F.struct(F.lit("source_ids").alias("field"), F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("value"))
     return (
         groups.where(F.col("n") >= 2)
-        .select("survivor_id", F.explode(F.array_append("fields", joined)).alias("f"))
+        .select("survivor_id", F.explode(F.concat("fields", F.array(state, joined))).alias("f"))
         .where(F.col("f.value").isNotNull())
         .select("survivor_id", F.col("f.field").alias("field_name"), F.col("f.value").alias("field_value"))
     )

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from claimloom.llm.survivorship import survivors
 
 
@@ -48,3 +50,14 @@ def test_hot_group_and_empty_table(victims, conventions):
     got = {r["field_name"]: r["field_value"] for r in survivors(victims(*rows), conventions()).collect()}
     assert got == {"listing_state": "unknown", "source_ids": "s", "claim_details.deadline": "2999"}
     assert survivors(victims(), conventions()).count() == 0
+
+
+def test_trust_goes_before_time(victims, conventions):
+    rows = [
+        {"id": "a", "group_id": "g", "record_id": "1", "source_id": "s", "first_seen_at": "2024-03-01T00:00:00Z", "last_seen_at": "2024-05-01T00:00:00Z", "claim_details": {"description": "new", "deadline": "n/a"}},
+        {"id": "b", "group_id": "G", "record_id": "1", "source_id": "t", "first_seen_at": "2024-03-01", "last_seen_at": "2024-04-01T00:00:00Z", "claim_details": {"description": "old"}},
+    ]
+    value = lambda trust=None: {r["field_name"]: r["field_value"] for r in survivors(victims(*rows), conventions(), trust).collect()}
+    plain, trusted = value(), value(F.when(F.col("source_id") == "t", 1).otherwise(0))
+    assert plain["claim_details.description"] == "new" and trusted["claim_details.description"] == "old"
+    assert plain["first_seen_at"] == "2024-03-01" and "claim_details.deadline" not in plain
