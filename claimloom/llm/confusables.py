@@ -76,6 +76,10 @@ def _any_ignorable() -> re.Pattern:
 _IGNORABLE = _any_ignorable()
 
 
+#: Phonetic letters, and the scripts beside Latin that the lattice knows; texts without one have nothing to replace.
+_LATTICED = re.compile("[\u0250-\u02af\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1d00-\u1dbf\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab30-\uabbf]")
+
+
 def _visible(text: str) -> str:
     if not _IGNORABLE.search(text):
         return text
@@ -109,7 +113,7 @@ class Cleaner:
 
     def __call__(self, text: str) -> str:
         text = compatible(text)
-        if text.isascii():
+        if text.isascii() or not _LATTICED.search(text):
             return text
         words = text.split(" ")
         context = self._context(words)

@@ -291,12 +291,17 @@ def _read(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cleaner = Cleaner(model)
+        types: dict[str | None, str | None] = {None: None}
         for b in batches:
             out = []
             for i, o, t, p, c, url, g, r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
                 org = norm = title = ws = sentence = template = slots = page = None
                 usable = False
-                said = p.strip().lower() if p is not None and not _type_residue(p) else None
+                if p not in types:
+                    if len(types) > 10_000:
+                        types.clear()
+                    types[p] = None if p is None or _type_residue(p) else p.strip().lower()
+                said = types[p]
                 if o is not None:
                     org = cleaner(o)
                     norm = normal(org)

@@ -74,6 +74,8 @@ _DIGITS = re.compile(r"\d+")
 _SPLIT = re.compile(r"[\W_]+")
 
 
+#: All combining marks but those that give kana their voicing.
+_MARKS = re.compile("[" + "".join(chr(c) for c in [*range(0x300, 0xFE30), *range(0x101FD, 0x1E94B)] if unicodedata.combining(chr(c)) and c not in (0x3099, 0x309A)) + "]")
 _PLAIN = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
@@ -81,7 +83,7 @@ def normal(text: str) -> str:
     """A clean text with letter case, accents and punctuation set aside."""
     if text.isascii():
         return " ".join(text.lower().translate(_PLAIN).split())
-    x = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c) or c in "\u3099\u309a")  # kana keep their voicing
+    x = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
     return " ".join(_SPLIT.sub(" ", unicodedata.normalize("NFC", x)).split())
 
 
