@@ -653,9 +653,8 @@ def _parts_of_families(placed: DataFrame) -> DataFrame:
     A group without business joins the only one that doesn't contradict it, or the largest where it states no country either.
     Joins and aggregations of distinct profiles only: no family comes together in one row.
     """
-    profiles = placed.groupBy("family", "fact", "business", "place", "site").agg(F.count("*").alias("n"))
-    several = placed.groupBy("family").agg(differ("business").alias("several")).where("several").select("family")
-    profiles = cut(profiles.join(several, "family", "left_semi"))
+    several = cut(placed.groupBy("family").agg(differ("business").alias("several")).where("several").select("family"))
+    profiles = cut(placed.join(several, "family", "left_semi").groupBy("family", "fact", "business", "place", "site").agg(F.count("*").alias("n")))
     stated = profiles.select("fact", F.explode(F.filter(F.array(_node("s", F.col("family"), F.col("site")), _node("p", F.col("family"), F.col("place"))), lambda x: x.isNotNull())).alias("b"))
     # A line of business that is part of another one: they share the former's first word.
     lines = profiles.where("business is not null").select("family", "fact", F.split("business", " ").alias("words")).distinct()
@@ -667,7 +666,7 @@ def _parts_of_families(placed: DataFrame) -> DataFrame:
     lined = parts.where("lined").groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum((~F.col("placed")).cast("int")).alias("open"), F.min(F.when(~F.col("placed"), F.col("part"))).alias("only"))
     home = F.when(F.col("lined"), F.col("part")).when(~F.col("placed"), F.col("largest")).when(F.col("open") == 1, F.col("only")).otherwise(F.col("part"))
     resolved = parts.join(lined, "family").select("family", "part", home.alias("home"))
-    return grouped.select("family", "fact", "part").distinct().join(resolved, ["family", "part"]).select("fact", F.col("home").alias("part"))
+    return cut(grouped.select("family", "fact", "part").distinct().join(resolved, ["family", "part"]).select("fact", F.col("home").alias("part")))
 
 
 def entities(rows: DataFrame) -> DataFrame:
