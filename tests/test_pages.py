@@ -10,7 +10,7 @@ from claimloom.functions import times, urls
 from claimloom.operators import html, rollups, view
 from claimloom.sources import files
 
-TABLE = """<html><body><table><tr><th>Company</th><th>Country</th><th>Extortion Date</th><th>Data size</th></tr><tr data-id="7"><td><a href="/v/alpha-1">Alpha&nbsp;Research</a></td><td>Australia</td><td>2026-09-20</td><td>18 GB</td></tr>
+TABLE = """<html><body><table><tr><th>Company</th><th>Country</th><th>Extortion Date</th><th>Data size</th></tr><tr data-id="7"><td><a href="/v/ostrava-1">Ostrava&nbsp;Glass</a></td><td>Norway</td><td>2027-02-11</td><td>7 TB</td></tr>
 <tr><td><a href="/v/beta%20x/">Beta</a></td><td></td></tr><tr><td></td></tr></table><script>var x = "<td>no</td>"</script><a rel="next" href="?page=2">more</a><a href="https://else.example/?page=3">3</a><div class="my-pagination"><a href="/list/p4">4</a></div></body></html>"""
 CARDS = """<main><article class="post-card" id="c1"><h2><a href="/x">Gamma Ltd</a></h2><time datetime="2026-01-02">2 Jan</time><span class="country">Italy</span><p>Data size: 3 TB</p><dl><dt>Deadline</dt><dd>3 days</dd></dl></article>
 <div class="victim"><h3>Gamma LTD</h3></div><div class="victim"><h3>Delta</h3><h4>x</h4></div><div class="entry"><b class="title">Epsilon</b><i class="posted">May 1</i><div data-label="file-count">12</div></div></main>"""
@@ -18,8 +18,8 @@ CARDS = """<main><article class="post-card" id="c1"><h2><a href="/x">Gamma Ltd</
 
 def test_tables():
     p = html.parse_listing(TABLE, "https://a.example/list?page=1")
-    assert p["parser"] == "html-table" and [r["organization"] for r in p["records"]] == ["Alpha Research", "Beta"]
-    assert p["records"][0] == {"organization": "Alpha Research", "post_title": "Alpha Research", "record_id": "7", "reported_date": "2026-09-20", "country": "Australia", "sector": None, "claim_details": {"claimed_data_size": "18 GB"}} and p["records"][1]["record_id"] == "beta x"
+    assert p["parser"] == "html-table" and [r["organization"] for r in p["records"]] == ["Ostrava Glass", "Beta"]
+    assert p["records"][0] == {"organization": "Ostrava Glass", "post_title": "Ostrava Glass", "record_id": "7", "reported_date": "2027-02-11", "country": "Norway", "sector": None, "claim_details": {"claimed_data_size": "7 TB"}} and p["records"][1]["record_id"] == "beta x"
     assert [x["url"] for x in p["links"]] == ["https://a.example/list?page=2", "https://a.example/list/p4"]
 
 
