@@ -10,6 +10,7 @@ from claimloom.functions.keys import archive_id
 from claimloom.functions.text import compact_name, normalize_name, nz
 from claimloom.functions.times import iso_utc, moment
 from claimloom.operators.records import classify_archive_titles
+from claimloom.session import cut
 
 # Labels of an archive and the ids of the groups they mean; they hold only with a catalog that has these groups.
 APPROVED_ALIASES = {
@@ -38,11 +39,15 @@ def group_keys(groups: DataFrame, aliases: dict[str, str] | None = None) -> Data
 
 
 def judged_posts(posts: DataFrame, groups: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Posts with group, organisation, moment and ``outcome``: the first of unmatched_group, excluded, invalid_timestamp, else matched."""
-    p = classify_archive_titles(posts.select(F.col("group_name").alias("label"), "post_title", "discovered")).withColumn("key", compact_name(F.coalesce("label", F.lit(""))))
+    """Posts with group, organisation, moment and ``outcome``: the first of invalid_row, unmatched_group, excluded,
+    invalid_timestamp, else matched. Rows are invalid where the posts have a column ``valid`` that says so. Written once, as
+    candidates and summary read it several times.
+    """
+    valid = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in posts.columns else F.lit(True)
+    p = classify_archive_titles(posts.select(F.col("group_name").alias("label"), "post_title", "discovered", valid.alias("valid"))).withColumn("key", compact_name(F.coalesce("label", F.lit(""))))
     p = p.join(group_keys(groups, aliases), "key", "left").withColumn("at", iso_utc(moment(F.col("discovered")))).withColumn("name", normalize_name(F.coalesce("organization", F.lit(""))))
-    outcome = F.when(F.col("group_id").isNull(), "unmatched_group").when(F.col("organization").isNull(), "excluded").when(F.col("at").isNull(), "invalid_timestamp").otherwise("matched")
-    return p.withColumn("outcome", outcome)
+    outcome = F.when(~F.col("valid"), "invalid_row").when(F.col("group_id").isNull(), "unmatched_group").when(F.col("organization").isNull(), "excluded").when(F.col("at").isNull(), "invalid_timestamp").otherwise("matched")
+    return cut(p.withColumn("outcome", outcome))
 
 
 def archive_candidates(judged: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def import_archive(history: DataFrame, candidates: DataFrame, imported_at: str,
 def import_summary(judged: DataFrame, history: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row of counts: what became of the posts, and of the history if the import is applied."""
     h = history.withColumn("__n", normalize_name(F.coalesce("organization", F.lit("")))).where("__n <> '' and group_id <> ''")
-    posts = judged.agg(F.count("*").alias("archive_rows"), *[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("matched", "matched_archive_rows"), ("excluded", "excluded_headline_or_ambiguous"), ("unmatched_group", "unmatched_group_rows"), ("invalid_timestamp", "invalid_timestamps"))])
+    posts = judged.agg(F.count("*").alias("archive_rows"), *[F.count_if(F.col("outcome") == o).alias(n) for o, n in (("matched", "matched_archive_rows"), ("excluded", "excluded_headline_or_ambiguous"), ("unmatched_group", "unmatched_group_rows"), ("invalid_row", "invalid_rows"), ("invalid_timestamp", "invalid_timestamps"))])
     hits = candidates.select("group_id", F.col("name").alias("__n")).join(h.groupBy("group_id", "__n").agg(F.count("*").alias("rows")), ["group_id", "__n"], "left")
     found = hits.agg(F.count("*").alias("unique_group_organizations"), F.count_if(F.col("rows").isNull()).alias("new_sightings"), F.coalesce(F.sum("rows"), F.lit(0)).alias("existing_sightings_updated"), F.count_distinct("group_id").alias("matched_groups"))
     total = history.agg(F.count("*").alias("__h"))

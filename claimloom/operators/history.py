@@ -21,9 +21,12 @@ def with_sources(df: DataFrame) -> DataFrame:
 
 
 def migrate(df: DataFrame) -> DataFrame:
-    """Stored sightings brought to today's schema: normalised; victims know all their sources."""
-    n = normalize_records(df)
-    return n.withColumn("source_ids", F.when(F.col("post_type") == "victim", known_sources(F.col("source_ids"), F.col("source_id"), F.col("historical_import.matched_source_ids"))).otherwise(F.col("source_ids")))
+    """Stored sightings in today's schema: headlines and reviews as they stand, all others normalised, victims still victims
+    and with all their sources."""
+    stored = F.coalesce(F.col("post_type").isin("headline", "review"), F.lit(False))
+    other = with_sources(normalize_records(df.where(~stored).withColumn("__was", F.col("post_type").eqNullSafe("victim"))))
+    other = other.withColumn("post_type", F.when(F.col("__was"), "victim").otherwise(F.col("post_type")))
+    return df.where(stored).unionByName(other.select(df.columns))
 
 
 def merge_copies(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,20 +55,21 @@ def merge_copies(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def canonical(df: DataFrame) -> DataFrame:
     """Sightings with one row per group and victim; headlines, reviews and victims without a name stay as they are."""
-    stored = F.col("post_type").isin("headline", "review")
-    passed = df.where(F.coalesce(stored, F.lit(False)))
-    was_victim = df.where(~F.coalesce(stored, F.lit(False))).withColumn("__was", F.col("post_type") == "victim")
-    m = normalize_records(was_victim).withColumn("post_type", F.when(F.col("__was"), "victim").otherwise(F.col("post_type"))).drop("__was")
-    m = with_sources(m).withColumn("__name", normalize_name(F.coalesce("organization", F.lit("")))).withColumn("__g", F.lower("group_id"))
+    stored = F.coalesce(F.col("post_type").isin("headline", "review"), F.lit(False))
+    passed = df.where(stored)
+    m = migrate(df.where(~stored)).withColumn("__name", normalize_name(F.coalesce("organization", F.lit("")))).withColumn("__g", F.lower("group_id"))
     named = (F.col("post_type") == "victim") & nz("__g").isNotNull() & (F.col("__name") != "")
     merged = merge_copies(m.where(named), ["__g", "__name"])
     rest = m.where(~F.coalesce(named, F.lit(False)))
     return passed.unionByName(merged.select(df.columns)).unionByName(rest.select(df.columns))
 
 
-def latest_first(df: DataFrame) -> DataFrame:
-    """Rows as views list them: last seen, group and organisation, all descending, ties by id."""
-    return df.orderBy(F.coalesce("last_seen_at", F.lit("")).desc(), F.lower(F.coalesce("group_name", F.lit(""))).desc(), F.lower(F.coalesce("organization", F.lit(""))).desc(), F.col("id"))
+def latest_first(df: DataFrame, *then: str) -> DataFrame:
+    """Rows as views list them: last seen, group and organisation, all descending; ties by ``then``, ascending, or by id.
+
+    With ``then`` the number of a row in its input, earlier rows come first.
+    """
+    return df.orderBy(F.coalesce("last_seen_at", F.lit("")).desc(), F.lower(F.coalesce("group_name", F.lit(""))).desc(), F.lower(F.coalesce("organization", F.lit(""))).desc(), *(F.col(c) for c in then or ("id",)))
 
 
 def _names(df: DataFrame) -> DataFrame:
@@ -110,12 +114,13 @@ def merge_observations(history: DataFrame, observed: DataFrame, covered: DataFra
     is listed. ``covered`` (group_id, source_id): sources that the batch looked at whole, by default those in ``observed``;
     their sightings that weren't observed become unknown. Nothing is ever removed.
 
-    The history is read several times, so it should be a table; a batch upon a batch should read what the first one wrote.
+    The history is migrated first, and written once, as it is read several times.
     """
     cols = history.columns
+    history = cut(migrate(history))
     new = _names(observed.where(nz("post_title").isNotNull())).withColumn("__fallback", F.coalesce(nz("__org"), "__title"))
     new = new.withColumn("__sid", sighting_id(F.col("group_id"), F.col("source_id"), F.col("post_type"), F.col("__org"), F.col("record_id"), F.col("__fallback")))
-    new = new.withColumn("__rec", F.sha2(F.to_json(F.struct("__sid", "group_id", "source_id", "record_id", "observed_at", "post_title", "organization", "claim_details")), 256)).dropDuplicates(["__rec"])
+    new = new.withColumn("__rec", F.sha2(F.to_json(F.struct("__sid", "group_id", "group_name", "source_id", "source_host", "record_id", "observed_at", "post_title", "organization", "reported_date", "country", "country_basis", "sector", "watchguard_profile_url", "claim_details")), 256)).dropDuplicates(["__rec"])
     new = cut(match_history(cut(new), history).withColumn("id", F.coalesce("old_id", "__sid")))
     at = F.struct(order_key(F.col("observed_at")).alias("at"), F.col("source_id").alias("s"), F.col("__rec").alias("r"))
     late = lambda c: F.max_by(F.when(nz(c).isNotNull(), F.col(c)), F.when(nz(c).isNotNull(), F.col("__at")))

@@ -28,16 +28,24 @@ def capture_outcome(max_bytes: int = 2_000_000) -> Column:
 
 
 def latest_captures(captures: DataFrame) -> DataFrame:
-    """Of each source's page the capture fetched last, admitted ones first."""
-    w = Window.partitionBy("source_id", "page_no").orderBy(capture_outcome().isNull().desc(), F.col("fetched_at").desc(), F.col("response_url"), F.col("body"))
-    return captures.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """Of each source's page the capture fetched last, admitted ones first; of captures of one moment that of the smallest digest.
+
+    One aggregation of structs that the bodies aren't compared in; a page captured again and again is a row per input partition.
+    """
+    digest = F.sha2(F.to_json(F.struct(*sorted(captures.columns))), 256)
+    best = F.max_by(F.struct(*captures.columns), F.struct(capture_outcome().isNull().alias("ok"), F.col("fetched_at").alias("at"), F.translate(digest, "0123456789abcdef", "fedcba9876543210").alias("tie")))
+    return captures.groupBy(F.col("source_id").alias("__s"), F.col("page_no").alias("__p")).agg(best.alias("c")).select("c.*")
 
 
 def within_page_limit(captures: DataFrame, limit: int = 25) -> DataFrame:
-    """The first ``limit`` pages of each source, with ``page_limit_reached`` where it has more."""
+    """The first ``limit`` pages of each source, with ``page_limit_reached`` where it has more; pages without number come first.
+
+    Only distinct page numbers are ranked, a small table that the rows are then joined with.
+    """
     w = Window.partitionBy("source_id")
-    ranked = captures.withColumn("__r", F.dense_rank().over(w.orderBy("page_no"))).withColumn("page_limit_reached", F.max("__r").over(w) > limit)
-    return ranked.where(F.col("__r") <= limit).drop("__r")
+    ranked = captures.select("source_id", "page_no").distinct().withColumn("__r", F.row_number().over(w.orderBy("page_no"))).withColumn("page_limit_reached", F.count("*").over(w) > limit)
+    first = ranked.where(F.col("__r") <= limit).select(F.col("source_id").alias("__s"), F.col("page_no").alias("__p"), "page_limit_reached")
+    return captures.join(first, captures["source_id"].eqNullSafe(first["__s"]) & captures["page_no"].eqNullSafe(first["__p"])).drop("__s", "__p")
 
 
 def source_results(captures: DataFrame) -> DataFrame:
@@ -122,3 +130,34 @@ def needs_onion(groups: DataFrame) -> DataFrame:
     """One row: whether an active group publishes on an onion host."""
     e = groups.where(F.lower("status") == "active").select(F.explode("leak_sites").alias("s"))
     return e.agg(F.coalesce(F.bool_or(host(F.col("s.url")).endswith(".onion") | (F.col("s.kind") == "onion")), F.lit(False)).alias("needs_onion"))
+
+
+def status_histogram(sources: DataFrame) -> DataFrame:
+    """(status, sources, pages): how many sources are of each status, and the pages read of them."""
+    return sources.groupBy("status").agg(F.count("*").alias("sources"), F.coalesce(F.sum("pages_scanned"), F.lit(0)).alias("pages"))
+
+
+def endpoint_counts(groups: DataFrame) -> DataFrame:
+    """(status, groups, endpoints): groups of each status and how many endpoints they have."""
+    return groups.groupBy("status").agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.when(F.col("leak_sites").isNotNull(), F.size("leak_sites"))), F.lit(0)).cast("long").alias("endpoints"))
+
+
+def groups_in_order(groups: DataFrame) -> DataFrame:
+    """Groups by name, letter case aside; ties by id."""
+    return groups.orderBy(F.lower(F.coalesce("name", "group_id")), "group_id")
+
+
+def sources_in_order(sources: DataFrame) -> DataFrame:
+    """Sources by group name, letter case aside, then by host; ties by id."""
+    return sources.orderBy(F.lower(F.coalesce("group_name", F.lit(""))), F.coalesce("source_host", F.lit("")), "source_id")
+
+
+def events(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(event, line): a log line of key=value pairs for each row; nulls are left out, spaces in values become underscores."""
+    pairs = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.translate(F.col(c).cast("string"), " ", "_"))) for c in columns]
+    return rows.select(F.lit(name).alias("event"), F.concat_ws(" ", F.lit(name), *pairs).alias("line"))
+
+
+def event_fields(lines: DataFrame, line: str = "line") -> DataFrame:
+    """``lines`` with ``fields``, the map of a log line's pairs."""
+    return lines.withColumn("fields", F.map_filter(F.str_to_map(line, F.lit(" "), F.lit("=")), lambda k, v: v.isNotNull()))

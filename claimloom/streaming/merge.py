@@ -14,8 +14,8 @@ from claimloom.sources.files import replace_table
 def merging_writer(records: DataFrame, history_path: str, checkpoint: str) -> DataStreamWriter:
     """A writer that merges a stream of observed records into the table at ``history_path``; start it with ``.start()``.
 
-    Late batches widen first and last sightings, so no watermark drops them. A batch that is replayed after a failure gives the
-    same history: its number is written beside the table, and merging is idempotent anyway.
+    Late batches widen first and last sightings, so no watermark drops them. Merging is idempotent, so a batch that is replayed
+    after a failure gives the same history.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
