@@ -15,13 +15,19 @@ _MONTHS = {m: i + 1 for i, names in enumerate("jan january,feb february,mar marc
 _WIDER = r"^(?:(\d{4})-?(\d{2})-?(\d{2})|(\d{4})-?W(\d{2})(?:-?([1-7]))?)(?:[^\d](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
 
 
-def moment(c: Column) -> Column:
-    """The moment that an ISO text states, null where it states none."""
+def plain_moment(c: Column) -> Column:
+    """The moment that a text states in the extended form, as views read it; null where it states none."""
     t = F.trim(c)
     zone = F.regexp_replace(F.regexp_extract(t, _ISO, 3), r"^([+-]\d{2}):?(\d{2})$", "$1:$2")
     clock = F.coalesce(F.nullif(F.regexp_extract(t, _ISO, 2), F.lit("")), F.lit("00:00"))
     full = F.concat(F.regexp_extract(t, _ISO, 1), F.lit(" "), clock, F.when(F.length(clock) == 5, ":00").otherwise(""), F.when(zone.isin("", "Z"), "+00:00").otherwise(zone))
-    return F.when(t.rlike(_ISO), full.try_cast("timestamp")).when(t.rlike(_WIDER), _wider(t))
+    return F.when(t.rlike(_ISO), full.try_cast("timestamp"))
+
+
+def moment(c: Column) -> Column:
+    """The moment that an ISO text states in any of its forms, null where it states none."""
+    t = F.trim(c)
+    return F.when(t.rlike(_ISO), plain_moment(t)).when(t.rlike(_WIDER), _wider(t))
 
 
 def _wider(t: Column) -> Column:
@@ -63,6 +69,6 @@ def claim_day(reported: Column, first_seen: Column) -> Column:
         a, b = r"(?i)^(\d{1,2})\s+([a-z]+)[,.]?\s+(\d{4})$", r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
         table = F.create_map(*[F.lit(x) for kv in _MONTHS.items() for x in kv])
         named = lambda p, d, m: F.to_date(F.try_make_timestamp_ntz(F.regexp_extract(t, p, 3).try_cast("int"), F.try_element_at(table, F.lower(F.regexp_extract(t, p, m))), F.regexp_extract(t, p, d).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)))
-        return F.when(t.rlike(a), named(a, 1, 2)).when(t.rlike(b), named(b, 2, 1)).otherwise(F.to_date(F.to_utc_timestamp(moment(t), F.current_timezone())))
+        return F.when(t.rlike(a), named(a, 1, 2)).when(t.rlike(b), named(b, 2, 1)).otherwise(F.to_date(F.to_utc_timestamp(plain_moment(t), F.current_timezone())))
 
     return F.coalesce(day(reported), day(first_seen), F.lit("1970-01-01").cast("date"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from claimloom.functions import text as tx
 from claimloom.functions import times, urls
 from claimloom.functions.collections import known_sources, overlay
-from claimloom.functions.keys import archive_id, source_id
-from claimloom.operators import archive, history, html, records, rollups, view
+from claimloom.functions.keys import archive_id, sighting_id, source_id
+from claimloom.operators import archive, cycle, history, html, records, rollups, view
 from claimloom.sources.files import public
+from claimloom.plans import sql
 from claimloom.session import table
 from claimloom.streaming.merge import windowed_counts
 
@@ -88,6 +89,13 @@ _ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?(Z|[
 
 
 def s_moment(x: str) -> str:
+    """Also of basic and week dates, as far as the tables have them."""
+    other = lambda shape, form: rf"WHEN regexp_matches(trim({x}), '{shape}') THEN try_strptime(trim({x}), '{form}') AT TIME ZONE 'UTC'"
+    short = rf"regexp_replace({x}, '([.][0-9]{{6}})[0-9]+', '\1')"  # finer digits dropped
+    return f"CASE WHEN regexp_matches(trim({short}), {_q(_ISO)}) THEN {s_plain_moment(short)} {other('^[0-9]{8}T[0-9]{6}Z$', '%Y%m%dT%H%M%SZ')} {other('^[0-9]{4}-W[0-9]{2}-[0-9]T[0-9:]{8}Z$', '%G-W%V-%uT%H:%M:%SZ')} END"
+
+
+def s_plain_moment(x: str) -> str:
     part = lambda i: f"regexp_extract(trim({x}), {_q(_ISO)}, {i})"
     clock = f"CASE WHEN {part(2)} = '' THEN '00:00:00' WHEN length({part(2)}) = 5 THEN {part(2)} || ':00' ELSE {part(2)} END"
     zone = rf"CASE WHEN {part(3)} IN ('', 'Z') THEN '+00:00' ELSE regexp_replace({part(3)}, '^([+-]\d{{2}}):?(\d{{2}})$', '\1:\2') END"
@@ -170,10 +178,29 @@ def ref_view_search(spark: SparkSession, d: str) -> DataFrame:
     return view.filtered(table(spark, d, "victims"), "energy", listing_state="listed").select("id", "organization", "country", "listing_state")
 
 
-@query()
+def s_day(x: str) -> str:
+    a, b = r"(?i)^(\d{1,2})\s+([a-z]+)[,.]?\s+(\d{4})$", r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
+    month = lambda p, i: f"(SELECT m FROM months WHERE n = lower(regexp_extract(trim({x}), {_q(p)}, {i})))"
+    named = lambda p, dd, mm: f"try_cast(regexp_extract(trim({x}), {_q(p)}, 3) || '-' || {month(p, mm)} || '-' || lpad(regexp_extract(trim({x}), {_q(p)}, {dd}), 2, '0') AS DATE)"
+    return f"CASE WHEN regexp_matches(trim({x}), {_q(a)}) THEN {named(a, 1, 2)} WHEN regexp_matches(trim({x}), {_q(b)}) THEN {named(b, 2, 1)} ELSE CAST(({s_plain_moment(x)}) AT TIME ZONE 'UTC' AS DATE) END"
+
+
+_MONTH_ROWS = ", ".join(f"({_q(k)}, '{v:02d}')" for k, v in times._MONTHS.items())
+
+
+_SORT = lambda x: rf"icu_sort_key(lower(strip_accents(regexp_replace(regexp_replace(coalesce({x}, ''), '(\d+)', '000000000000\1', 'g'), '\d*(\d{{12}})(\D|$)', '\1\2', 'g'))), 'und')"
+_SHOWN = f"CASE WHEN {s_usable('organization')} THEN {s_strip('organization')} WHEN {s_usable('post_title')} THEN {s_strip('post_title')} ELSE '' END"
+
+
+@query(
+    f"""WITH months(n, m) AS (VALUES {_MONTH_ROWS}), p AS (SELECT *, {_SHOWN} AS shown, coalesce({s_day('reported_date')}, {s_day('first_seen_at')}, DATE '1970-01-01') AS d FROM {_VICTIMS} WHERE country = 'Germany'),
+    q AS (SELECT *, row_number() OVER (ORDER BY d DESC, {_SORT('shown')}, {_SORT('group_name')}, id) AS r, count(*) OVER () AS n FROM p)
+    SELECT id, shown AS name, CASE WHEN {s_usable('post_title')} AND lower(trim(post_title)) <> lower(shown) THEN post_title END AS title, group_name, country, CASE WHEN country_basis = 'flag_inferred' THEN 'Inferred from flag' END AS country_note, sector, CAST(d AS VARCHAR) AS day,
+    CASE listing_state WHEN 'listed' THEN 'Currently listed' WHEN 'not_seen' THEN 'No longer seen' ELSE 'Unknown / stale' END AS state FROM q WHERE (r - 1) // 100 = least(1, greatest((n - 1) // 100, 0))"""
+)
 def ref_view_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of the victims of a country, as it is shown."""
-    return view.rows(view.page(view.filtered(table(spark, d, "victims"), country="Germany"), 2))
+    return view.rows(view.page(view.filtered(table(spark, d, "victims"), country="Germany"), 2)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT id, last_seen_at, group_name, organization FROM victims ORDER BY coalesce(last_seen_at, '') DESC, lower(coalesce(group_name, '')) DESC, lower(coalesce(organization, '')) DESC, id LIMIT 100 OFFSET 100")
@@ -182,16 +209,6 @@ def ref_latest_page(spark: SparkSession, d: str) -> DataFrame:
     return history.latest_first(table(spark, d, "victims")).select("id", "last_seen_at", "group_name", "organization").offset(100).limit(100)
 
 
-def s_day(x: str) -> str:
-    a, b = r"(?i)^(\d{1,2})\s+([a-z]+)[,.]?\s+(\d{4})$", r"(?i)^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
-    month = lambda p, i: f"(SELECT m FROM months WHERE n = lower(regexp_extract(trim({x}), {_q(p)}, {i})))"
-    named = lambda p, dd, mm: f"try_cast(regexp_extract(trim({x}), {_q(p)}, 3) || '-' || {month(p, mm)} || '-' || lpad(regexp_extract(trim({x}), {_q(p)}, {dd}), 2, '0') AS DATE)"
-    return f"CASE WHEN regexp_matches(trim({x}), {_q(a)}) THEN {named(a, 1, 2)} WHEN regexp_matches(trim({x}), {_q(b)}) THEN {named(b, 2, 1)} ELSE CAST(({s_moment(x)}) AT TIME ZONE 'UTC' AS DATE) END"
-
-
-_MONTH_ROWS = ", ".join(f"({_q(k)}, '{v:02d}')" for k, v in times._MONTHS.items())
-
-
 @query(f"WITH months(n, m) AS (VALUES {_MONTH_ROWS}) SELECT id, coalesce({s_day('reported_date')}, {s_day('first_seen_at')}, DATE '1970-01-01') AS day FROM victims")
 def ref_claim_days(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "victims").select("id", times.claim_day(F.col("reported_date"), F.col("first_seen_at")).alias("day"))
@@ -225,6 +242,7 @@ def ref_details_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FILLED = [c for c in history.FILLED]
+_Q_WAS = "spoken_type IS NOT NULL AND spoken_type = 'victim'"
 _S_KEY = lambda x: f"struct_pack(a := ({s_moment(x)}) IS NOT NULL, b := coalesce({s_moment(x)}, TIMESTAMPTZ '1970-01-01 00:00:00+00'), c := CASE WHEN ({s_moment(x)}) IS NULL THEN {x} ELSE '' END)"
 
 
@@ -241,21 +259,65 @@ def ref_merge_copies(spark: SparkSession, d: str) -> DataFrame:
     return history.merge_copies(v, ["g", "r"]).select("id", *_FILLED, "first_seen_at", "last_seen_at", F.array_join("source_ids", ",").alias("ids"), "source_id", "listing_state")
 
 
-@query()
+_KEPT = "id, group_id, record_id, source_host, watchguard_profile_url, source_id, first_seen_at, last_seen_at, listing_state"
+_PLAIN = "list_transform(map_entries(claim_details), lambda e: struct_pack(k := e.key, v := e.value))"
+
+
+@query(
+    f"""WITH {sql.fold()}, {sql.normalised('o', f"SELECT *, post_type AS spoken_type, {_KNOWN} AS known FROM victims WHERE post_type IS NULL OR post_type NOT IN ('headline', 'review')", f'{_KEPT}, known, ({_Q_WAS}) AS was')},
+    {sql.folded('n', 'SELECT organization AS x FROM o')},
+    v AS (SELECT o.* EXCLUDE (post_type), CASE WHEN was THEN 'victim' ELSE post_type END AS post_type, lower(group_id) AS g, coalesce(y, '') AS name FROM o LEFT JOIN n ON n.x = organization),
+    named AS (SELECT * FROM v WHERE post_type = 'victim' AND nullif(g, '') IS NOT NULL AND name <> ''),
+    m AS (SELECT g, name, min(id) AS id, arg_min(group_id, id) AS group_id, {', '.join(f"arg_min({c}, id) FILTER (WHERE nullif({c}, '') IS NOT NULL) AS {c}" for c in _FILLED)},
+        arg_min(first_seen_at, {_S_KEY('first_seen_at')}) FILTER (WHERE nullif(first_seen_at, '') IS NOT NULL) AS first_seen_at, arg_max(last_seen_at, {_S_KEY('last_seen_at')}) FILTER (WHERE nullif(last_seen_at, '') IS NOT NULL) AS last_seen_at,
+        list_sort(list_distinct(flatten(list(known)))) AS ids, arg_min(struct_pack(s := nullif(source_id, '')), id).s AS prim, CASE WHEN bool_or(listing_state = 'listed') THEN 'listed' ELSE 'unknown' END AS listing_state FROM named GROUP BY g, name),
+    e AS (SELECT g, name, x.k AS k, arg_min(x.v, id) AS v FROM (SELECT g, name, id, unnest(details) AS x FROM named) WHERE nullif(x.v, '') IS NOT NULL GROUP BY ALL), t AS (SELECT g, name, array_to_string(list_sort(list(k || '=' || v)), '; ') AS details FROM e GROUP BY ALL)
+    SELECT id, group_id, 'victim' AS post_type, {', '.join(_FILLED)}, first_seen_at, last_seen_at, array_to_string(ids, ',') AS ids, coalesce(prim, ids[1]) AS source_id, listing_state, details FROM m LEFT JOIN t USING (g, name)
+    UNION ALL SELECT id, group_id, post_type, {', '.join(_FILLED)}, first_seen_at, last_seen_at, array_to_string(known, ',') AS ids, source_id, listing_state, {sql.details_text('details')} FROM v WHERE NOT (post_type = 'victim' AND nullif(g, '') IS NOT NULL AND name <> '')
+    UNION ALL SELECT id, group_id, post_type, {', '.join(_FILLED)}, first_seen_at, last_seen_at, array_to_string(source_ids, ',') AS ids, source_id, listing_state, {sql.details_text(_PLAIN)} FROM victims WHERE post_type IN ('headline', 'review')"""
+)
 def ref_canonical(spark: SparkSession, d: str) -> DataFrame:
     """One row per group and victim."""
-    return history.canonical(table(spark, d, "victims"))
+    c = history.canonical(table(spark, d, "victims"))
+    return c.select("id", "group_id", "post_type", *_FILLED, "first_seen_at", "last_seen_at", F.array_join("source_ids", ",").alias("ids"), "source_id", "listing_state", _flat())
 
 
-@query()
+_RECORD = ("organization", "post_title", "post_type", "reported_date", "country", "country_basis", "sector")
+
+
+def _flat(details: str = "claim_details"):
+    """A map of details as one text."""
+    return nz_text(F.array_join(F.array_sort(F.transform(F.map_entries(details), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "; ")).alias("details")
+
+
+def nz_text(c):
+    return F.nullif(c, F.lit(""))
+
+
+_NORMALISED = f"WITH {sql.fold()}, {sql.normalised('r', 'SELECT * FROM listing_records', 'source_id, page_no, pos, record_id')}"
+
+
+@query(f"{_NORMALISED} SELECT source_id, page_no, pos, record_id, {', '.join(_RECORD)}, {sql.details_text('details')} AS details FROM r")
 def ref_normalized_records(spark: SparkSession, d: str) -> DataFrame:
-    return records.normalize_records(table(spark, d, "listing_records"))
+    """All listing records in the public schema."""
+    return records.normalize_records(table(spark, d, "listing_records")).select("source_id", "page_no", "pos", "record_id", *_RECORD, _flat())
 
 
-@query()
+_FIRST = lambda c, o: f"arg_min({c}, {o}) FILTER (WHERE nullif({c}, '') IS NOT NULL) AS {c}"
+_DEDUPED = f"""{_NORMALISED}, {sql.folded('n', 'SELECT organization AS x FROM r UNION ALL SELECT post_title FROM r')},
+    k AS (SELECT r.*, struct_pack(a := page_no, b := pos) AS o, CASE WHEN post_type = 'victim' AND coalesce(n1.y, '') <> '' THEN 'victim:' || n1.y WHEN {sql.clean('record_id')} <> '' THEN 'record:' || lower({sql.clean('record_id')})
+        ELSE post_type || ':' || coalesce(nullif(n1.y, ''), n2.y, '') END AS key FROM r LEFT JOIN n n1 ON n1.x = organization LEFT JOIN n n2 ON n2.x = post_title),
+    e AS (SELECT source_id, key, d.k AS dk, arg_min(d.v, o) AS dv FROM (SELECT source_id, key, o, unnest(details) AS d FROM k) WHERE nullif(d.v, '') IS NOT NULL GROUP BY ALL),
+    t AS (SELECT source_id, key, array_to_string(list_sort(list(dk || '=' || dv)), '; ') AS details FROM e GROUP BY ALL),
+    one AS (SELECT source_id, key, min(o).a AS page_no, min(o).b AS pos, arg_min(struct_pack(v := organization), o).v AS organization, arg_min(struct_pack(v := post_title), o).v AS post_title, arg_min(post_type, o) AS post_type,
+        {', '.join(_FIRST(c, 'o') for c in ('record_id', 'reported_date', 'country', 'country_basis', 'sector'))} FROM k GROUP BY ALL)"""
+
+
+@query(f"{_DEDUPED} SELECT one.source_id, page_no, pos, record_id, {', '.join(_RECORD)}, details FROM one LEFT JOIN t ON t.source_id IS NOT DISTINCT FROM one.source_id AND t.key = one.key")
 def ref_deduped_records(spark: SparkSession, d: str) -> DataFrame:
     """One record per listing of each source."""
-    return records.dedupe_records(records.normalize_records(table(spark, d, "listing_records")), ["source_id"], ["page_no", "pos"])
+    found = records.dedupe_records(records.normalize_records(table(spark, d, "listing_records")), ["source_id"], ["page_no", "pos"])
+    return found.select("source_id", "page_no", "pos", "record_id", *_RECORD, _flat())
 
 
 @query()
@@ -266,7 +328,12 @@ def ref_merge_observations(spark: SparkSession, d: str) -> DataFrame:
     return history.merge_observations(table(spark, d, "victims"), seen)
 
 
-@query()
+@query(
+    f"""WITH {sql.fold()}, {sql.folded('n', 'SELECT organization AS x FROM victims UNION ALL SELECT organization FROM listing_records')},
+    l AS (SELECT DISTINCT lower(s.group_id) AS g, n.y FROM listing_records r JOIN sources s USING (source_id) JOIN n ON n.x = r.organization WHERE lower(s.group_id) IN (SELECT lower(group_id) FROM group_catalog WHERE lower(status) = 'active'))
+    SELECT id, CASE WHEN post_type = 'victim' AND coalesce(n.y, '') <> '' AND nullif(group_id, '') IS NOT NULL THEN CASE WHEN l.y IS NOT NULL THEN 'listed' ELSE 'unknown' END ELSE listing_state END AS listing_state
+    FROM victims v LEFT JOIN n ON n.x = v.organization LEFT JOIN l ON l.g = lower(v.group_id) AND l.y = n.y"""
+)
 def ref_aggregate_states(spark: SparkSession, d: str) -> DataFrame:
     """Victims' states by what sources of active groups list."""
     known = table(spark, d, "sources").select("source_id", "group_id")
@@ -358,12 +425,12 @@ def ref_group_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT status, count(*) AS sources, coalesce(sum(pages_scanned), 0) AS pages FROM sources GROUP BY status")
 def ref_status_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sources").groupBy("status").agg(F.count("*").alias("sources"), F.coalesce(F.sum("pages_scanned"), F.lit(0)).alias("pages"))
+    return rollups.status_histogram(table(spark, d, "sources"))
 
 
 @query("SELECT status, count(*) AS groups, coalesce(sum(len(leak_sites)), 0) AS endpoints FROM group_catalog GROUP BY status")
 def ref_endpoint_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "group_catalog").groupBy("status").agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.when(F.col("leak_sites").isNotNull(), F.size("leak_sites"))), F.lit(0)).cast("long").alias("endpoints"))
+    return rollups.endpoint_counts(table(spark, d, "group_catalog"))
 
 
 @query("SELECT source_id, count(*) FILTER (WHERE post_type = 'victim') AS victims_found, count(*) FILTER (WHERE post_type = 'review') AS posts_review FROM listing_records GROUP BY source_id")
@@ -404,20 +471,40 @@ def ref_archive_times(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("discovered", "at").agg(F.count("*").alias("posts"))
 
 
-@query()
+_AT = f"CASE WHEN ({s_moment('discovered')}) IS NOT NULL THEN regexp_replace(strftime(({s_moment('discovered')}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') || 'Z' END"
+_JUDGED = f"WITH {sql.fold()}, {sql.judged(_AT, _COMPACT)}"
+_HISTORY = f"{_JUDGED}, {sql.CANDIDATES}, {sql.folded('vn', 'SELECT organization AS x FROM victims')}, v AS (SELECT victims.*, coalesce(y, '') AS name FROM victims LEFT JOIN vn ON vn.x = organization)"
+
+
+@query(f"{_JUDGED}, {sql.CANDIDATES} SELECT * FROM c")
 def ref_archive_candidates(spark: SparkSession, d: str) -> DataFrame:
     """What the archive knows of each group's organisations."""
     return archive.archive_candidates(archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog")))
 
 
-@query()
+@query(
+    f"""{_HISTORY} SELECT coalesce(v.id, c.id) AS id, coalesce(v.group_id, c.group_id) AS group_id, CASE WHEN c.id IS NULL THEN v.organization ELSE coalesce(nullif(v.organization, ''), c.organization) END AS organization, CASE WHEN v.id IS NULL THEN c.post_title ELSE coalesce(v.post_title, CASE WHEN v.id IS NULL THEN c.post_title END) END AS post_title,
+    CASE WHEN c.id IS NULL THEN v.post_type ELSE 'victim' END AS post_type, CASE WHEN c.id IS NULL THEN v.country ELSE coalesce(nullif(v.country, ''), c.country) END AS country, CASE WHEN c.id IS NULL OR nullif(v.country, '') IS NOT NULL THEN v.country_basis ELSE c.country_basis END AS country_basis,
+    CASE WHEN c.id IS NULL THEN v.first_seen_at ELSE least(coalesce(nullif(v.first_seen_at, ''), c.first_seen_at), c.first_seen_at) END AS first_seen_at,
+    CASE WHEN c.id IS NULL OR nullif(v.source_id, '') IS NOT NULL THEN v.last_seen_at ELSE greatest(coalesce(nullif(v.last_seen_at, ''), c.last_seen_at), c.last_seen_at) END AS last_seen_at,
+    CASE WHEN v.id IS NULL THEN 'unknown' ELSE v.listing_state END AS listing_state, CASE WHEN v.id IS NULL THEN '' WHEN c.id IS NULL THEN array_to_string(v.source_ids, ',') ELSE array_to_string({_KNOWN.replace('source_ids, []), [source_id]', 'v.source_ids, []), [v.source_id]').replace('historical_import.', 'v.historical_import.')}, ',') END AS ids,
+    CASE WHEN c.id IS NULL THEN v.historical_import.earliest_discovered ELSE c.first_seen_at END AS earliest, CAST(CASE WHEN c.id IS NULL THEN v.historical_import.archive_observations ELSE c.archive_observations END AS VARCHAR) AS observations, CASE WHEN c.id IS NULL THEN v.historical_import.imported_at ELSE coalesce(nullif(v.historical_import.imported_at, ''), '2026-12-01T00:00:00Z') END AS imported_at
+    FROM v FULL JOIN c ON v.group_id = c.group_id AND v.name = c.name AND v.name <> '' AND v.group_id <> ''"""
+)
 def ref_import_archive(spark: SparkSession, d: str) -> DataFrame:
     """The history with the archive in it."""
     c = archive.archive_candidates(archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog")))
-    return archive.import_archive(table(spark, d, "victims"), c, "2026-12-01T00:00:00Z")
+    h, hist = archive.import_archive(table(spark, d, "victims"), c, "2026-12-01T00:00:00Z"), F.col("historical_import")
+    return h.select("id", "group_id", "organization", "post_title", "post_type", "country", "country_basis", "first_seen_at", "last_seen_at", "listing_state", F.array_join("source_ids", ",").alias("ids"), hist["earliest_discovered"].alias("earliest"), hist["archive_observations"].cast("string").alias("observations"), hist["imported_at"].alias("imported_at"))
 
 
-@query()
+@query(
+    f"""{_HISTORY}, hits AS (SELECT c.group_id, k.n FROM c LEFT JOIN (SELECT group_id, name, count(*) AS n FROM v WHERE name <> '' AND group_id <> '' GROUP BY ALL) k ON k.group_id = c.group_id AND k.name = c.name),
+    a AS (SELECT count(*) AS archive_rows, count(*) FILTER (WHERE outcome = 'matched') AS matched_archive_rows, count(*) FILTER (WHERE outcome = 'excluded') AS excluded_headline_or_ambiguous, count(*) FILTER (WHERE outcome = 'unmatched_group') AS unmatched_group_rows,
+        CAST(0 AS BIGINT) AS invalid_rows, count(*) FILTER (WHERE outcome = 'invalid_timestamp') AS invalid_timestamps FROM j),
+    b AS (SELECT count(*) AS unique_group_organizations, count(*) FILTER (WHERE n IS NULL) AS new_sightings, CAST(coalesce(sum(n), 0) AS BIGINT) AS existing_sightings_updated, count(DISTINCT group_id) AS matched_groups FROM hits)
+    SELECT *, (SELECT count(*) FROM victims) + new_sightings AS sighting_total FROM a, b"""
+)
 def ref_import_summary(spark: SparkSession, d: str) -> DataFrame:
     j = archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog"))
     return archive.import_summary(j, table(spark, d, "victims"), archive.archive_candidates(j))
@@ -494,3 +581,63 @@ def ref_unseen_sources(spark: SparkSession, d: str) -> DataFrame:
 def ref_source_ids(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "group_catalog").select("group_id", F.explode("leak_sites.url").alias("given"))
     return e.select("given", source_id(F.col("given"), F.col("group_id")).alias("source_id"))
+
+
+@query("SELECT 'source_result' AS event, concat_ws(' ', 'source_result', 'source_id=' || source_id, 'status=' || status, 'pages_scanned=' || pages_scanned, 'error_type=' || replace(error_type, ' ', '_')) AS line FROM sources")
+def ref_events(spark: SparkSession, d: str) -> DataFrame:
+    """A log line for what became of each source."""
+    return rollups.events(table(spark, d, "sources"), "source_result", "source_id", "status", "pages_scanned", "error_type")
+
+
+@query("SELECT source_id, row_number() OVER (ORDER BY lower(coalesce(group_name, '')), coalesce(source_host, ''), source_id) AS place FROM sources")
+def ref_sources_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with their places in the public order; a table of fixed size."""
+    s = rollups.sources_in_order(table(spark, d, "sources")).select("source_id").coalesce(1)
+    return s.select("source_id", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query("SELECT group_id, row_number() OVER (ORDER BY lower(coalesce(name, group_id)), group_id) AS place FROM group_catalog")
+def ref_groups_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with their places in the public order; a table of fixed size."""
+    g = rollups.groups_in_order(table(spark, d, "group_catalog")).select("group_id").coalesce(1)
+    return g.select("group_id", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
+@query(f"SELECT u AS given, CASE WHEN regexp_matches({s_host('u')}, '(^|[.])tracker[.]example$') THEN NULL WHEN suffix({s_host('u')}, '.onion') THEN 'onion' ELSE 'website' END AS kind, contains({s_host('u')}, '.') AND NOT regexp_matches({s_host('u')}, '[.](localhost|local|internal|lan)$') AS public FROM {_ALL_URLS}")
+def ref_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Every URL of the tables as an endpoint: its kind, and whether its host may be public."""
+    c = table(spark, d, "page_captures").select(F.explode(F.array("requested_url", "response_url")).alias("given"))
+    u = table(spark, d, "group_catalog").select(F.explode("leak_sites.url").alias("given")).unionByName(c).where("given is not null").distinct()
+    return u.select("given", urls.endpoint(F.col("given"))["kind"].alias("kind"), urls.is_public_target(F.col("given")).alias("public"))
+
+
+@query("SELECT DISTINCT group_name, coalesce(nullif(trim(regexp_replace(lower(group_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM victims WHERE group_name IS NOT NULL")
+def ref_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Names of groups as parts of URLs."""
+    return table(spark, d, "victims").where("group_name is not null").select("group_name").distinct().select("group_name", tx.slugify("group_name").alias("slug"))
+
+
+@query("SELECT id, e.key AS k, e.value AS v FROM (SELECT id, unnest(map_entries(claim_details)) AS e FROM victims) WHERE NOT regexp_matches(coalesce(trim(e.value), ''), '(?i)^(?:|[-–—]|n/?a|unknown)$')")
+def ref_shown_details(spark: SparkSession, d: str) -> DataFrame:
+    """The details that a view shows."""
+    return table(spark, d, "victims").select("id", F.explode(tx.shown_details(F.col("claim_details"))).alias("k", "v"))
+
+
+_SIGHTING = f"""left(sha256(lower(group_id) || chr(0) || CASE WHEN post_type = 'victim' AND org <> '' THEN 'victim:' || org ELSE source_id || chr(0) || CASE WHEN {sql.clean('record_id')} <> '' THEN 'record:' || lower({sql.clean('record_id')}) ELSE post_type || ':' || name END END), 24)"""
+
+
+@query(
+    f"""WITH {sql.fold()}, {sql.folded('n', 'SELECT organization AS x FROM victims UNION ALL SELECT post_title FROM victims')}, v AS (SELECT v.*, coalesce(n1.y, '') AS org, coalesce(nullif(n1.y, ''), n2.y, '') AS name FROM victims v LEFT JOIN n n1 ON n1.x = organization LEFT JOIN n n2 ON n2.x = post_title)
+    SELECT id, {_SIGHTING} AS sighting_id FROM v WHERE post_type IN ('victim', 'headline', 'review') AND group_id IS NOT NULL AND source_id IS NOT NULL"""
+)
+def ref_sighting_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids that sightings would get today."""
+    v = table(spark, d, "victims").where("post_type in ('victim', 'headline', 'review') and group_id is not null and source_id is not null")
+    v = v.withColumn("org", tx.normalize_name(F.coalesce("organization", F.lit("")))).withColumn("name", F.coalesce(tx.nz("org"), tx.normalize_name(F.coalesce("post_title", F.lit("")))))
+    return v.select("id", sighting_id(F.col("group_id"), F.col("source_id"), F.col("post_type"), F.col("org"), F.col("record_id"), F.col("name")).alias("sighting_id"))
+
+
+@query()
+def ref_run(spark: SparkSession, d: str) -> DataFrame:
+    """Sources after a whole run over all captures."""
+    return cycle.run(table(spark, d, "group_catalog"), table(spark, d, "page_captures"), table(spark, d, "sources"), table(spark, d, "victims"), "2026-12-01T00:00:00Z").sources

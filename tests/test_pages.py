@@ -45,6 +45,8 @@ def test_parsed_tables_and_walk(make):
     assert sorted(r["organization"] for r in html.page_records(p).collect()) == ["Name 1 Ltd", "Name 2 Ltd", "Name 4 Ltd"]
     links = p.select("source_id", F.col("url").alias("from_key"), F.explode("links.url").alias("to_key"))
     got = {r["key"][-1]: r["depth"] for r in html.reachable(p.where("page_no = 1").select("source_id", F.col("url").alias("key")), links).collect()}
+    first = html.reachable(p.where("page_no = 1").select("source_id", F.col("url").alias("key")), links, 2).collect()
+    assert {(r["key"][-1], r["limited"]) for r in first} == {("1", True), ("2", True)}
     assert got == {"1": 0, "2": 1, "3": 2} and html.parsed_pages(c.limit(0)).count() == 0
 
 
