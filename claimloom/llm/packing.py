@@ -76,7 +76,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         while s := stock.largest(gap):
             held.append((s, stock.take(s)))
             gap -= s
-        if gap and stock.bits and len(held) > 1:
+        if gap and stock.bits:
             small, i = held[-1]
             if two := stock.pair(gap + small, small):
                 held.pop()
@@ -94,15 +94,16 @@ def containers(token_table: DataFrame, windows: DataFrame, key: str = "doc_id",
     """
     sizes = [(r[0], r[1]) for r in windows.where("capacity >= 1").groupBy("window_id").agg(F.min("capacity")).collect()]
     spark = token_table.sparkSession
-    docs = cut(token_table.select(F.col(key).alias("__key"), F.col("tokens").cast("long").alias("__n")).where("__n > 0"))
+    counted = token_table.select(F.col(key).alias("__key"), F.col("tokens").cast("long").alias("__n")).where("__n > 0").groupBy("__key", "__n").agg(F.count("*").alias("__copies"))
+    docs = cut(counted.select("__key", "__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")))
     shards = max(1, -(-docs.count() // shard_pieces))
     if not sizes:
         return spark.createDataFrame([], f"window_id int, capacity int, container string, `{key}` {token_table.schema[key].dataType.simpleString()}, start_token long, tokens long")
     each = F.explode(F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(c).alias("capacity")) for w, c in sorted(sizes)]))
-    pieces = docs.select("__key", "__n", each.alias("w")).select("__key", "__n", "w.*", F.expr("__n div w.capacity").alias("__full"))
+    pieces = docs.select("__key", "__n", "__copy", each.alias("w")).select("__key", "__n", "__copy", "w.*", F.expr("__n div w.capacity").alias("__full"))
     whole = pieces.where("__full > 0").select(
-        "window_id", "capacity", F.col("__key").alias(key), F.explode(F.sequence(F.lit(0), F.col("__full") - 1)).alias("__k")
-    ).select("window_id", "capacity", F.concat(F.lit("full-"), F.col(key), F.lit("-"), F.col("__k")).alias("container"), key, (F.col("__k") * F.col("capacity")).alias("start_token"), F.col("capacity").cast("long").alias("tokens"))
+        "window_id", "capacity", "__n", "__copy", F.col("__key").alias(key), F.explode(F.sequence(F.lit(0), F.col("__full") - 1)).alias("__k")
+    ).select("window_id", "capacity", F.concat_ws("-", F.lit("full"), F.coalesce(F.col(key).cast("string"), F.lit("null")), "__n", "__copy", "__k").alias("container"), key, (F.col("__k") * F.col("capacity")).alias("start_token"), F.col("capacity").cast("long").alias("tokens"))
     rest = pieces.withColumn("tokens", F.col("__n") % F.col("capacity")).where("tokens > 0").select("window_id", "capacity", F.pmod(F.xxhash64("__key"), F.lit(shards)).alias("shard"), F.col("__key").alias(key), (F.col("__n") - F.col("tokens")).alias("start_token"), "tokens")
 
     def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:

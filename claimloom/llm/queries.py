@@ -24,6 +24,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "victims"), table(spark, sf_dir, "source_conventions"))
 
 
+def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving values of all fields but the first sighting, whose many notations SQL doesn't read."""
+    return p4_found(spark, sf_dir).where("field_name <> 'first_seen_at'")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with template residue or an error page's text."""
     return with_residue(table(spark, sf_dir, "victims")).select("id")
@@ -74,7 +79,20 @@ def p9_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p4_found": p4_found, "p4_fields": p4_fields, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_bands": p9_bands,
 }
-ORACLES: dict[str, str] = {}
+# Stand-ins for "not known", as the problem means them.
+_STAND_INS = (
+    "'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', 'unknown', 'unspecified', 'undisclosed', 'undefined', 'tbd', 'tba', 'tbc', 'pending', '?', 'unbekannt', 'inconnu', 'desconocido', 'неизвестно', 'not disclosed', 'not known', 'not available', "
+    "'not specified', 'not stated', 'no data', 'no information', 'to be announced', 'to be determined', 'k.a.', 'non communiqué'"
+)
+_BARE = r"lower(regexp_replace(e.value, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
+ORACLES: dict[str, str] = {
+    "p4_fields": rf"""WITH c AS (SELECT *, lower(group_id) AS g, lower(record_id) AS r, coalesce(CAST(last_seen_at AS TIMESTAMPTZ), TIMESTAMPTZ '0001-01-01 00:00:00+00') AS seen FROM victims WHERE group_id IS NOT NULL AND record_id IS NOT NULL),
+    s AS (SELECT g, r, min(id) AS survivor_id, coalesce(bool_or(lower(trim(listing_state)) = 'listed'), false) AS listed FROM c GROUP BY g, r HAVING count(*) >= 2),
+    i AS (SELECT g, r, array_to_string(list_sort(list(DISTINCT x)), ',') AS ids FROM (SELECT g, r, unnest(list_concat(list_concat(coalesce(source_ids, []), [source_id]), coalesce(historical_import.matched_source_ids, []))) AS x FROM c) WHERE trim(x) <> '' GROUP BY g, r),
+    d AS (SELECT g, r, e.key AS k, arg_max(e.value, struct_pack(a := seen, b := id, c := e.value)) AS v FROM (SELECT g, r, id, seen, unnest(map_entries(claim_details)) AS e FROM c) WHERE {_BARE} <> '' AND regexp_matches({_BARE}, '[\p{{L}}\p{{N}}]') AND {_BARE} NOT IN ({_STAND_INS}) GROUP BY ALL)
+    SELECT survivor_id, 'listing_state' AS field_name, CASE WHEN listed THEN 'listed' ELSE 'unknown' END AS field_value FROM s
+    UNION ALL SELECT survivor_id, 'source_ids', ids FROM s JOIN i USING (g, r) UNION ALL SELECT survivor_id, 'claim_details.' || k, v FROM s JOIN d USING (g, r)"""
+}
