@@ -2,8 +2,8 @@
 
 A grammar over tokens reads each text: numbers (digit groups, decimal marks, exponents, words, fractions), scale words
 (thousand, Mio., lakh, 万, dozen ...), unit words with their prefixes, and clock notations. A unit is a vector of exponents
-over the base dimensions (data, count, time), a scale, and an offset to the canonical unit (byte, item, second);
-a product of parts adds vectors and multiplies scales. Quantities of the wanted dimension that stand side by side add up.
+over the base dimensions (data, count, time), a scale, and an offset to the canonical unit (byte, item, second); a product of
+parts adds vectors and multiplies scales, a rate subtracts and divides, so that 10 MB/s is no amount of data. Quantities of the wanted dimension that stand side by side add up.
 Arithmetic is exact (``fractions.Fraction``), so no rounding happens before the last step, half up.
 
 The texts are parsed in Arrow batches by ``mapInPandas``: the grammar is recursive and needs whole texts, which built-in
@@ -24,19 +24,24 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.timestamps import conventions
 
-DATA, COUNT, TIME = (1, 0, 0), (0, 1, 0), (0, 0, 1)
+DATA, COUNT, TIME, NONE = (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)
+# Words that make a rate of two units.
+_PER = ("/", "per", "pro", "par", "por", "al", "в", "毎")
 
 
 @dataclass(frozen=True)
 class Unit:
-    """value_in_canonical = value * scale + offset; ``dim``: exponents of (data, count, time)."""
+    """value_in_canonical = value * scale + offset; ``dim``: exponents of (data, count, time). Products and rates have no offset."""
 
     dim: tuple[int, int, int]
     scale: Fraction
     offset: Fraction = Fraction(0)
 
     def __mul__(self, other: Unit) -> Unit:
-        return Unit(tuple(a + b for a, b in zip(self.dim, other.dim, strict=True)), self.scale * other.scale)
+        return Unit(tuple(a + b for a, b in zip(self.dim, other.dim, strict=True)), self.scale * other.scale, other.offset if self.dim == NONE else Fraction(0))
+
+    def __truediv__(self, other: Unit) -> Unit:
+        return Unit(tuple(a - b for a, b in zip(self.dim, other.dim, strict=True)), self.scale / other.scale)
 
 
 # Prefixes by power of 1000 (decimal) and of 1024 (binary), with their Cyrillic letters.
@@ -215,30 +220,37 @@ class Parser:
         return total
 
     def unit(self) -> Unit | None:
-        """unit := scale* name; ``mega bytes`` and ``mega-bytes`` are one name."""
-        start, scale = self.i, Fraction(1)
+        """unit := scale* name (per name)?; ``mega bytes`` and ``mega-bytes`` are one name. A rate has another dimension than what it is the rate of."""
+        start, scale = self.i, Unit(NONE, Fraction(1))
         while True:
             w = self.word()
             joined = w + self.word(1)
             if w and self.word(1) and joined in self.table and len(w) > 1 and w not in ("min",):
                 self.i += 2
-                return Unit(self.table[joined].dim, self.table[joined].scale * scale, self.table[joined].offset)
+                return self.rate(scale * self.table[joined])
             # "K" or "M" before a unit, or where things are counted, is a scale; "M" alone after a size is not a unit.
             if w in _SCALES and not (w in self.table and self.dim != COUNT and not (self.dim == DATA and w in ("m", "k") and self.word(1) in self.table)):
-                scale *= _SCALES[w]
+                scale *= Unit(NONE, Fraction(_SCALES[w]))
                 self.i += 1
                 if self.i < len(self.t) and self.t[self.i][1] == ".":
                     self.i += 1
                 continue
             if w in self.table:
                 self.i += 1
-                u = self.table[w]
-                return Unit(u.dim, u.scale * scale, u.offset)
-            if scale != 1:
-                return Unit((0, 0, 0), scale)
+                return self.rate(scale * self.table[w])
+            if scale.scale != 1:
+                return scale
             self.i = start
             return None
 
+    def rate(self, u: Unit) -> Unit:
+        """``u``, or what it is per unit of time where one follows."""
+        per = self.sym() or self.word()
+        if per.casefold() in _PER and u.dim != TIME and self.word(1) in TIMES and len(self.word(1)) > (per != "/"):
+            self.i += 2
+            return u / TIMES[self.t[self.i - 1][1].casefold()]
+        return u
+
     def quantities(self) -> list[tuple[Fraction, int, int, bool]]:
         """(value in the canonical unit, first token, token after, whether the unit was written)."""
         found: list[tuple[Fraction, int, int, bool]] = []
@@ -259,7 +271,7 @@ class Parser:
                 self.i = max(self.i, start + 1) if self.i == start else self.i
                 continue
             u = self.unit()
-            if u is None or u.dim == (0, 0, 0):
+            if u is None or u.dim == NONE:
                 bare = self.bare
                 if bare is None:
                     continue
@@ -388,8 +400,18 @@ def read_quantities(details: DataFrame, conventions_table: DataFrame) -> DataFra
     )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, int | None] = {}  # texts repeat, as copies of a listing do
+
+        def amount(q: str, t: str, m: str, u: str | None) -> int | None:
+            k = (q, t, m, u)
+            if k not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[k] = data_bytes(t, m, u) if q == "data_bytes" else _READERS[q](t, m)
+            return known[k]
+
         for b in batches:
-            amounts = [data_bytes(t, m, u) if q == "data_bytes" else _READERS[q](t, m) for q, t, m, u in zip(b["quantity"], b["text"], b["mark"], b["unit"], strict=True)]
+            amounts = [amount(*k) for k in zip(b["quantity"], b["text"], b["mark"], b["unit"], strict=True)]
             keep = [i for i, a in enumerate(amounts) if a is not None]
             yield pd.DataFrame({"id": b["id"].iloc[keep], "quantity": b["quantity"].iloc[keep].replace("described", "data_bytes"), "amount": pd.array([amounts[i] for i in keep], dtype="int64")})
 

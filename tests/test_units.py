@@ -76,3 +76,15 @@ def test_rows(make, conventions):
     got = sorted((r["id"], r["quantity"], r["amount"]) for r in read_quantities(v.selectExpr("*", "1 as text"), conventions(("s", "UTC", "dmy", ",", "GB"))).collect())
     assert got == [("a", "countdown_seconds", 259_200), ("a", "data_bytes", 1_500_000_000), ("a", "file_count", 1000), ("c", "data_bytes", 3 * 10**9), ("c", "data_bytes", 3 * 10**9)]
     assert read_quantities(v.limit(0), conventions()).count() == 0
+
+
+def test_units_compose():
+    from fractions import Fraction
+
+    from claimloom.operators.units import DATA, NONE, TIMES, UNITS, Unit
+
+    dozen = Unit(NONE, Fraction(12))
+    assert (dozen * UNITS["mb"]).dim == DATA and (dozen * UNITS["mb"]).scale == 12 * 10**6
+    speed = UNITS["mb"] / TIMES["s"]
+    assert speed.dim == (1, 0, -1) and (speed * TIMES["h"]) == Unit(DATA, Fraction(3600 * 10**6))
+    assert data_bytes("10 MB/s") is None and data_bytes("10 MB per second") is None and data_bytes("10 MB/s, 3 GB") == 3 * 10**9 and data_bytes("3 dozen MB") == 36 * 10**6
