@@ -57,7 +57,7 @@ def canonical(df: DataFrame) -> DataFrame:
     """Sightings with one row per group and victim; headlines, reviews and victims without a name stay as they are."""
     stored = F.coalesce(F.col("post_type").isin("headline", "review"), F.lit(False))
     passed = df.where(stored)
-    m = migrate(df.where(~stored)).withColumn("__name", normalize_name(F.coalesce("organization", F.lit("")))).withColumn("__g", F.lower("group_id"))
+    m = cut(migrate(df.where(~stored)).withColumn("__name", normalize_name(F.coalesce("organization", F.lit("")))).withColumn("__g", F.lower("group_id")))  # read three times
     named = (F.col("post_type") == "victim") & nz("__g").isNotNull() & (F.col("__name") != "")
     merged = merge_copies(m.where(named), ["__g", "__name"])
     rest = m.where(~F.coalesce(named, F.lit(False)))

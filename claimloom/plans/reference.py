@@ -14,7 +14,7 @@ from claimloom.functions.keys import archive_id, sighting_id, source_id
 from claimloom.operators import archive, cycle, history, html, records, rollups, view
 from claimloom.sources.files import public
 from claimloom.plans import sql
-from claimloom.session import table
+from claimloom.session import cut, spread, table
 from claimloom.streaming.merge import windowed_counts
 
 QUERIES: dict = {}
@@ -278,7 +278,7 @@ _PLAIN = "list_transform(map_entries(claim_details), lambda e: struct_pack(k :=
 )
 def ref_canonical(spark: SparkSession, d: str) -> DataFrame:
     """One row per group and victim."""
-    c = history.canonical(table(spark, d, "victims"))
+    c = history.canonical(spread(table(spark, d, "victims")))
     return c.select("id", "group_id", "post_type", *_FILLED, "first_seen_at", "last_seen_at", F.array_join("source_ids", ",").alias("ids"), "source_id", "listing_state", _flat())
 
 
@@ -300,7 +300,7 @@ _NORMALISED = f"WITH {sql.fold()}, {sql.normalised('r', 'SELECT * FROM listing_r
 @query(f"{_NORMALISED} SELECT source_id, page_no, pos, record_id, {', '.join(_RECORD)}, {sql.details_text('details')} AS details FROM r")
 def ref_normalized_records(spark: SparkSession, d: str) -> DataFrame:
     """All listing records in the public schema."""
-    return records.normalize_records(table(spark, d, "listing_records")).select("source_id", "page_no", "pos", "record_id", *_RECORD, _flat())
+    return records.normalize_records(spread(table(spark, d, "listing_records"))).select("source_id", "page_no", "pos", "record_id", *_RECORD, _flat())
 
 
 _FIRST = lambda c, o: f"arg_min({c}, {o}) FILTER (WHERE nullif({c}, '') IS NOT NULL) AS {c}"
@@ -316,7 +316,7 @@ _DEDUPED = f"""{_NORMALISED}, {sql.folded('n', 'SELECT organization AS x FROM r
 @query(f"{_DEDUPED} SELECT one.source_id, page_no, pos, record_id, {', '.join(_RECORD)}, details FROM one LEFT JOIN t ON t.source_id IS NOT DISTINCT FROM one.source_id AND t.key = one.key")
 def ref_deduped_records(spark: SparkSession, d: str) -> DataFrame:
     """One record per listing of each source."""
-    found = records.dedupe_records(records.normalize_records(table(spark, d, "listing_records")), ["source_id"], ["page_no", "pos"])
+    found = records.dedupe_records(records.normalize_records(spread(table(spark, d, "listing_records"))), ["source_id"], ["page_no", "pos"])
     return found.select("source_id", "page_no", "pos", "record_id", *_RECORD, _flat())
 
 
@@ -324,8 +324,9 @@ def ref_deduped_records(spark: SparkSession, d: str) -> DataFrame:
 def ref_merge_observations(spark: SparkSession, d: str) -> DataFrame:
     """The history after all listing records, seen at one time, are merged into it."""
     known = table(spark, d, "sources").select("source_id", "group_id", "group_name", "source_host", "watchguard_profile_url")
-    seen = records.dedupe_records(records.normalize_records(table(spark, d, "listing_records")), ["source_id"], ["page_no", "pos"]).join(known, "source_id").withColumn("observed_at", F.lit("2026-12-01T00:00:00Z"))
-    return history.merge_observations(table(spark, d, "victims"), seen)
+    seen = records.dedupe_records(records.normalize_records(spread(table(spark, d, "listing_records"))), ["source_id"], ["page_no", "pos"]).join(known, "source_id").withColumn("observed_at", F.lit("2026-12-01T00:00:00Z"))
+    seen = cut(seen)  # read twice
+    return history.merge_observations(spread(table(spark, d, "victims")), seen)
 
 
 @query(
@@ -479,7 +480,7 @@ _HISTORY = f"{_JUDGED}, {sql.CANDIDATES}, {sql.folded('vn', 'SELECT organization
 @query(f"{_JUDGED}, {sql.CANDIDATES} SELECT * FROM c")
 def ref_archive_candidates(spark: SparkSession, d: str) -> DataFrame:
     """What the archive knows of each group's organisations."""
-    return archive.archive_candidates(archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog")))
+    return archive.archive_candidates(archive.judged_posts(spread(table(spark, d, "archive_posts")), table(spark, d, "group_catalog")))
 
 
 @query(
@@ -493,7 +494,7 @@ def ref_archive_candidates(spark: SparkSession, d: str) -> DataFrame:
 )
 def ref_import_archive(spark: SparkSession, d: str) -> DataFrame:
     """The history with the archive in it."""
-    c = archive.archive_candidates(archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog")))
+    c = archive.archive_candidates(archive.judged_posts(spread(table(spark, d, "archive_posts")), table(spark, d, "group_catalog")))
     h, hist = archive.import_archive(table(spark, d, "victims"), c, "2026-12-01T00:00:00Z"), F.col("historical_import")
     return h.select("id", "group_id", "organization", "post_title", "post_type", "country", "country_basis", "first_seen_at", "last_seen_at", "listing_state", F.array_join("source_ids", ",").alias("ids"), hist["earliest_discovered"].alias("earliest"), hist["archive_observations"].cast("string").alias("observations"), hist["imported_at"].alias("imported_at"))
 
@@ -506,7 +507,7 @@ def ref_import_archive(spark: SparkSession, d: str) -> DataFrame:
     SELECT *, (SELECT count(*) FROM victims) + new_sightings AS sighting_total FROM a, b"""
 )
 def ref_import_summary(spark: SparkSession, d: str) -> DataFrame:
-    j = archive.judged_posts(table(spark, d, "archive_posts"), table(spark, d, "group_catalog"))
+    j = archive.judged_posts(spread(table(spark, d, "archive_posts")), table(spark, d, "group_catalog"))
     return archive.import_summary(j, table(spark, d, "victims"), archive.archive_candidates(j))
 
 

@@ -81,13 +81,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, where its scan has fewer (a single small file).
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its scan has less than half as many (a single small file).
 
     Reads the number of partitions of the plan only; large inputs, whose scans are split already, keep theirs without a shuffle.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(want) if df.rdd.getNumPartitions() * 2 <= want else df
 
 
 def bind(df: DataFrame, name: str, expr) -> DataFrame:
