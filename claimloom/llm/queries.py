@@ -14,14 +14,18 @@ from claimloom.llm.tokenizer import encoded, token_counts
 from claimloom.session import spread, table
 
 
+def _victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "victims"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean form of every organisation and title that isn't in it."""
-    return cleaned_fields(table(spark, sf_dir, "victims").select("id", "organization", "post_title"), ("organization", "post_title"))
+    return cleaned_fields(spread(table(spark, sf_dir, "victims").select("id", "organization", "post_title")), ("organization", "post_title"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving value of every field of every set of copies."""
-    return survivors(table(spark, sf_dir, "victims"), table(spark, sf_dir, "source_conventions"))
+    return survivors(_victims(spark, sf_dir), table(spark, sf_dir, "source_conventions"))
 
 
 def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,22 +35,22 @@ def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with template residue or an error page's text."""
-    return with_residue(table(spark, sf_dir, "victims")).select("id")
+    return with_residue(_victims(spark, sf_dir)).select("id")
 
 
 def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each such row has in place of content, and how many rows its template or page has."""
-    return with_support(table(spark, sf_dir, "victims"))
+    return with_support(_victims(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows that name one organisation differently."""
-    return variant_pairs(table(spark, sf_dir, "victims"))
+    return variant_pairs(_victims(spark, sf_dir))
 
 
 def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The organisation that each row names, with its spellings and rows."""
-    return named_entities(table(spark, sf_dir, "victims"))
+    return named_entities(_victims(spark, sf_dir))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
