@@ -1,9 +1,14 @@
 """Variants of names, and names that are alike but not the same organisation's."""
 
+import gc
 import itertools
 import random
+import weakref
 
-from claimloom.llm.names import BUSINESS, LEGAL, Business, Name, business_words, components, headline_gaps, named_entities, normal, radius_links, spoken, title_name, variant_pairs
+import pyarrow as pa
+
+from claimloom.llm import names as module
+from claimloom.llm.names import BUSINESS, LEGAL, Business, Name, business_words, components, headline_gaps, named_entities, normal, radius_links, spoken, title_name, uncollected, variant_pairs
 
 
 def pairs(victims, *rows):
@@ -185,3 +190,52 @@ def test_radius_join_of_names_of_one_to_three_words(make):
     close = [(x, y) for x, y in itertools.combinations(names, 2) if abs(len(run(x)) - len(run(y))) <= 2 and distance(run(x), run(y)) <= 2]
     got = {tuple(sorted((r["a"], r["b"]))) for r in radius_links(make([(n,) for n in names], "words string")).collect()}
     assert len(close) > 400 and all(tuple(sorted((run(x), run(y)))) in got for x, y in close)
+
+
+def test_kept_names_are_not_searched_for_cycles_while_rows_are_read():
+    seen = []
+
+    class Knot:
+        def __init__(self):
+            self.itself = self
+
+    def run(batches):
+        for b in batches:
+            seen.append((gc.isenabled(), weakref.ref(Knot())))
+            yield b
+
+    for stop in (False, True):
+        calm = uncollected(run)(iter(range(3)))
+        assert [next(calm) for _ in range(2)] == [0, 1]
+        calm.close() if stop else list(calm)
+        assert gc.isenabled()
+    assert not any(enabled for enabled, _ in seen) and seen[0][1]() is None
+
+
+def test_words_of_business_with_one_typing_error():
+    known = Business({})
+    for w in ("accounting", "laboratory", "services", "foods"):
+        for i in range(1, len(w) - 1):
+            typed = {w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
+            assert {known(x) for x in typed if len(x) > 6} <= {w}
+    assert known("querfeldbau") is None and known("accxunxing") is None
+
+
+def test_names_meet_in_any_number_of_parts_and_a_few_pairs_at_a_time(monkeypatch):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 5)))
+    spelt = sorted({f"{w[:i]}{x}{w[i + 1 :]}" for w in [f"{word()} {word()}" for _ in range(20)] + [word() for _ in range(20)] for i in range(3) for x in "aeß"})
+    batches = [pa.RecordBatch.from_arrays([pa.array(spelt[k::3])], names=["words"]) for k in range(3)]
+
+    def met(parts):
+        laid = [r for b in module._laid_out(iter(batches), parts) for r in b.to_pylist()]
+        kinds = pa.schema([("part", pa.int32()), *((k, pa.binary()) for k in ("letters", "ends", "own", "own_at", "other", "other_at"))])
+        own = [[r for r in laid if r["part"] == k] for k in range(parts)]
+        return {(r["wa"], r["wb"]) for rows in own for b in module._met(iter([pa.RecordBatch.from_pylist(rows, kinds)])) for r in b.to_pylist()}
+
+    whole = met(1)
+    assert len(whole) > 200 and met(7) == whole
+    monkeypatch.setattr(module, "PAIRS", 5)
+    assert met(3) == whole and met(1) == whole
+    near = {(x, y) for x, y in itertools.combinations(spelt, 2) if abs(len(x) - len(y)) <= 2 and distance(x.replace(" ", ""), y.replace(" ", "")) <= 2}
+    assert all((x, y) in whole or (y, x) in whole for x, y in near)
